@@ -22,17 +22,42 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "shards")
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engram.llm.minhash import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engram.llm.toxicity import toxicity
+
+    return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engram.llm.decontaminate import leaks
+
+    return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     from engram.llm.sstable import encode_and_store
 
     return encode_and_store(read_table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engram.llm.linededup import dedup_lines
+
+    done = dedup_lines(read_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from engram.llm.sharding import shard
 
     return shard(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op8_sstable, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op3_minhash, op5_toxicity, op7_decontaminate, op8_sstable, op9_line_dedup, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {}
