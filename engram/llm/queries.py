@@ -34,6 +34,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engram.llm.substrings import repeated_strings
+
+    return repeated_strings(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from engram.llm.decontaminate import leaks
 
@@ -59,5 +65,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op3_minhash, op5_toxicity, op7_decontaminate, op8_sstable, op9_line_dedup, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op3_minhash, op5_toxicity, op6_suffix_dedup, op7_decontaminate, op8_sstable, op9_line_dedup, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {}
