@@ -17,6 +17,7 @@
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ from engram.llm.common import BIG_ID, cut, drop, filesystem, fresh_path, mixed
 
 L, K = 50, 20
 V, D = 7, (0, 1, 3)  # differences of D give all of 0..6 modulo 7
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 BUCKET = 1 << 20
 P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -114,26 +115,28 @@ def _block_anchors(texts, keys):
 
 
 def _block_contexts(texts, keys, held: np.ndarray):
-    """Distinct contexts of the held anchors: {bytes: [number, smallest doc key, anchor]}, and their uses (text, first window, number)."""
-    found: dict[bytes, list] = {}
-    uses = []
+    """Distinct contexts of the held anchors {bytes: number}, their smallest doc keys and anchors, and their uses (text, first window, number, windows)."""
+    number: dict[bytes, int] = {}
+    anchors, uses = array("Q"), []
     for i, ends, raw, f, t, first, last in anchored(texts):
         if not len(f) or not len(held):
             continue
-        place = np.minimum(np.searchsorted(held, f), len(held) - 1)
-        for k in np.flatnonzero(held[place] == f):
-            c, x = raw[first[k] : last[k] + L], i + int(t[k])
-            got = found.get(c)
-            if got is None:
-                got = found[c] = [len(found), int(keys[x]), int(f[k])]
-            elif keys[x] < got[1]:
-                got[1] = int(keys[x])
-            uses.append((x, int(first[k] - (ends[t[k]] - len(texts[x]))), got[0], len(c) - L + 1))
-    return found, uses
-
-
-def first_holders(contexts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
-    """For each context, the smallest doc key that has each of its windows of L bytes."""
+        k = np.flatnonzero(held[np.minimum(np.searchsorted(held, f), len(held) - 1)] == f)
+        f, t, first, last = f[k], t[k], first[k], last[k] + L
+        known = len(number)
+        nos = np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip(first.tolist(), last.tolist())], np.int32)
+        new, at = np.unique(nos, return_index=True)
+        anchors.frombytes(f[at[new >= known]].tobytes())
+        lens = np.diff(ends, prepend=0)
+        uses.append(np.stack([i + t, first - (ends[t] - lens[t]), nos, last - first - L + 1]))
+    used = np.concatenate(uses, axis=1).astype(np.int32) if uses else np.empty((4, 0), np.int32)
+    least = np.full(len(number), BIG_ID, np.int64)
+    np.minimum.at(least, used[2], keys[used[0]])
+    return number, least, np.frombuffer(anchors, np.uint64), used
+
+
+def first_holders(contexts: list[bytes], docs: np.ndarray) -> np.ndarray:
+    """For the windows of L bytes of all contexts in turn, the smallest doc key that has them."""
     lens = np.array([len(c) for c in contexts], np.int64)
     text = np.frombuffer(b"".join(contexts) + bytes(L + 16), np.uint8)
     starts = np.cumsum(lens) - lens
@@ -146,7 +149,10 @@ def first_holders(contexts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     for j in range(8):
         word = (word << np.uint64(8)) | text[j : n + j]
     # ranks and longest common prefixes of the suffixes at cover places, to depth L
-    cover = np.flatnonzero(np.isin(np.arange(n - L) % V, D))
+    wanted = np.zeros(n - L + V, bool)
+    for d in range(V):
+        wanted[at + d] = True
+    cover = np.flatnonzero(wanted[: n - L] & np.isin(np.arange(n - L) % V, D))
     full, rest = divmod(L, 8)
     low = np.uint64((1 << 8 * (8 - rest)) - 1)
     keys = [word[cover + 8 * j] for j in range(full)] + [word[cover + 8 * full] & ~low]
@@ -169,10 +175,8 @@ def first_holders(contexts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     heads = np.flatnonzero(np.r_[True, lead[sorted_][1:] != lead[sorted_][:-1]])
     group = np.empty(len(at), np.int64)
     group[sorted_] = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(at)]))
-    cuts = [0]  # buckets of whole groups
-    for h in np.r_[heads, len(at)][1:]:
-        if h - cuts[-1] >= BUCKET or h == len(at):
-            cuts.append(int(h))
+    bounds = np.r_[heads, len(at)]
+    cuts = np.unique(np.r_[0, bounds[np.searchsorted(bounds, np.arange(BUCKET, len(at), BUCKET))], len(at)])  # buckets of whole groups
     for lo, hi in zip(cuts, cuts[1:]):
         bucket = sorted_[lo:hi]
         for d in range(V):
@@ -185,7 +189,7 @@ def first_holders(contexts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
             run = np.flatnonzero(np.r_[True, key[o][1:] != key[o][:-1]])
             least = np.minimum.reduceat(docs[owner[mine]][o], run)
             best[mine[o]] = np.minimum(best[mine[o]], np.repeat(least, np.diff(np.r_[run, len(o)])))
-    return np.split(best, np.cumsum(counts)[:-1])
+    return best
 
 
 def _packs(bucket: np.ndarray, n: int):
@@ -209,7 +213,7 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     if not files:
         return spark.createDataFrame([], RESULT)
     todo = spark.createDataFrame(list(enumerate(files)), "block long, path string").repartition(len(files), "block")
-    buckets = min(4096, max(16, len(files), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    buckets = min(4096, 4 * max(8, len(files), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     each = lambda batches: ((b, p) for x in batches for b, p in zip(*(x.column(c).to_pylist() for c in ("block", "path"))))
 
     def anchors(batches):
@@ -240,30 +244,32 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     def contexts(batches):
         for block, path in each(batches):
             _, keys, texts = _read_block(path)
-            found, _ = _block_contexts(texts, keys, held_of(block))
-            raws, got = list(found), list(found.values())
-            for h, at in _packs(np.array([g[2] % buckets for g in got], np.int64), buckets):
+            number, least, anchor, _ = _block_contexts(texts, keys, held_of(block))
+            raws = list(number)
+            for h, at in _packs((anchor % np.uint64(buckets)).astype(np.int64), buckets):
                 row = {"bucket": h, "block": block, "no": at.astype(np.int32).tobytes(), "lens": np.array([len(raws[k]) for k in at], np.uint8).tobytes()}
-                row |= {"docs": np.array([got[k][1] for k in at], np.int64).tobytes(), "raw": b"".join(raws[k] for k in at)}
+                row |= {"docs": least[at].tobytes(), "raw": b"".join(raws[k] for k in at)}
                 yield pa.RecordBatch.from_pylist([row], schema=SENT2)
 
     SENT2 = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *((c, pa.binary()) for c in ("no", "lens", "docs", "raw"))])
 
     def masks(pdf: pd.DataFrame) -> pd.DataFrame:
-        least: dict[bytes, list[int]] = {}
-        rows = []
-        for lens, ids, raw in zip(pdf["lens"], pdf["docs"], pdf["raw"]):
-            at, here = 0, []
-            for n, d in zip(lens, np.frombuffer(ids, np.int64).tolist()):
-                c = raw[at : at + n]
-                at += n
-                got = least.setdefault(c, [len(least), d])
-                got[1] = min(got[1], d)
-                here.append((got[0], d, n - L + 1))
-            rows.append(here)
-        docs_of = np.array([g[1] for g in least.values()], np.int64)
-        bits = [int((w < d) @ (1 << np.arange(len(w)))) for w, d in zip(first_holders(list(least), docs_of), docs_of)]
-        full = [np.array([(1 << m) - 1 if d > docs_of[c] else bits[c] for c, d, m in here], np.uint64).tobytes() for here in rows]
+        number: dict[bytes, int] = {}
+        nos = []
+        for lens, raw in zip(pdf["lens"], pdf["raw"]):
+            ends = np.cumsum(np.frombuffer(lens, np.uint8), dtype=np.int64).tolist()
+            nos.append(np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip([0, *ends], ends)], np.int64))
+        keys = [np.frombuffer(x, np.int64) for x in pdf["docs"]]
+        least = np.full(len(number), BIG_ID, np.int64)
+        np.minimum.at(least, np.concatenate(nos), np.concatenate(keys))
+        contexts = list(number)
+        counts = np.array([len(c) - L + 1 for c in contexts], np.int64)
+        smaller = first_holders(contexts, least) < np.repeat(least, counts)
+        ends = np.cumsum(counts)
+        place = np.arange(len(smaller)) - np.repeat(ends - counts, counts)
+        bits = np.add.reduceat(np.where(smaller, np.uint64(1) << place.astype(np.uint64), np.uint64(0)), ends - counts)
+        whole = (np.uint64(1) << counts.astype(np.uint64)) - np.uint64(1)
+        full = [np.where(k > least[no], whole[no], bits[no]).astype(np.uint64).tobytes() for no, k in zip(nos, keys)]
         return pd.DataFrame({"block": pdf["block"], "no": pdf["no"], "mask": full})
 
     masks_path = side(todo.mapInArrow(contexts, "bucket long, block long, no binary, lens binary, docs binary, raw binary").groupBy("bucket").applyInPandas(masks, "block long, no binary, mask binary"), "masks")
@@ -271,15 +277,16 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     def apply(batches):
         for block, path in each(batches):
             ids, keys, texts = _read_block(path)
-            found, uses = _block_contexts(texts, keys, held_of(block))
-            mask, least = np.zeros(len(found), np.uint64), np.array([g[1] for g in found.values()], np.int64)
+            number, least, _, (of, start, no, n) = _block_contexts(texts, keys, held_of(block))
+            mask = np.zeros(len(number), np.uint64)
             for r in _read_side(masks_path, block, ["no", "mask"]):
                 mask[np.frombuffer(r["no"], np.int32)] = np.frombuffer(r["mask"], np.uint64)
+            del number
+            full = (np.uint64(1) << n.astype(np.uint64)) - np.uint64(1)
+            got = np.where(keys[of] > least[no], full, mask[no])
             hit: dict[int, list[tuple[int, int, int]]] = {}
-            for x, start, no, m in uses:
-                got = (1 << m) - 1 if keys[x] > least[no] else int(mask[no])
-                if got:
-                    hit.setdefault(x, []).append((start, got, m))
+            for k in np.flatnonzero(got):
+                hit.setdefault(int(of[k]), []).append((int(start[k]), int(got[k]), int(n[k])))
             out = []
             for x, raw in enumerate(texts):
                 spans: list[list[int]] = []
