@@ -16,6 +16,12 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engram.llm.warc import archive_and_index
+
+    return archive_and_index(read_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "stamp")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from engram.llm.mixing import mix
 
@@ -28,6 +34,12 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from engram.llm.embeddings import linked_vectors
+
+    return linked_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from engram.llm.toxicity import toxicity
 
@@ -65,5 +77,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mixing, op3_minhash, op5_toxicity, op6_suffix_dedup, op7_decontaminate, op8_sstable, op9_line_dedup, op10_sharding)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc, op2_mixing, op3_minhash, op4_embeddings, op5_toxicity, op6_suffix_dedup, op7_decontaminate, op8_sstable, op9_line_dedup, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {}
