@@ -149,7 +149,7 @@ def entity_name(name: C) -> Column:
 def subtask_list(value: C) -> Column:
     numbered = col(value).rlike(r"\d+\.\s")
     parts = F.when(numbered, F.split(col(value), r"\d+\.\s*")).otherwise(F.split(col(value), "\n"))
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def token_estimate(text: C) -> Column:
