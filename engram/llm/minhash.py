@@ -8,11 +8,13 @@
 4. Bit counts of the packed signatures estimate the similarity, corrected for chance agreement of low bits; pairs far
    below the threshold go. The rest are confirmed on the full sets.
 5. Links give components. Buckets whose members are still in several components are compared across components, in
-   blocks spread over tasks, by bit counts; what passes is confirmed as before and joins the links."""
+   blocks spread over tasks, by bit counts; texts that pass are confirmed on full sets within the blocks, and a forest of
+   what is linked joins the links."""
 
 from __future__ import annotations
 
 from collections import OrderedDict
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from engram.llm.common import WordHashes, connected_components, cut, drop, shingles, words
+from engram.llm.common import WordHashes, connected_components, cut, drop, forest, shingles, words
 
 K, BAND_ROWS, B = 96, 4, 4
 BANDS = K // BAND_ROWS
@@ -117,40 +119,84 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
     return sides.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _across(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows(key, n, id, comp, sig) in one bucket but in different components, by estimate.
+def _groups(batches, columns: list[str]):
+    """The rows of each (key, lo, hi), which come together, as tuples of the columns."""
+    rows = (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in columns)))
+    return (list(g) for _, g in groupby(rows, key=lambda r: r[:3]))
 
-    A bucket of n members is cut into blocks; a task compares two blocks, so no task holds a large bucket."""
+
+def _candidates(group):
+    """(row, rows it is a candidate with): other components, near by estimate, not tested with the bucket's first member.
+
+    A pair of several common buckets is a candidate in the one of its first common band only."""
+    ids, comps, right = (np.array([g[c] for g in group]) for c in (4, 5, 3))
+    sigs = np.frombuffer(b"".join(g[8] for g in group), np.uint8).reshape(-1, K // 2)
+    bands, band, first = np.array([g[9] for g in group], np.int64), group[0][6], group[0][7]
+    same = group[0][1] == group[0][2]
+    left = np.arange(len(ids)) if same else np.flatnonzero(~right)
+    other = np.arange(len(ids)) if same else np.flatnonzero(right)
+    other = other[ids[other] != first]
+    for i in left[ids[left] != first]:
+        near = other[(comps[other] != comps[i]) & (ids[other] > ids[i] if same else True)]
+        near = near[estimates(sigs[near], sigs[i]) >= LEAST_ESTIMATE]
+        near = near[(bands[near] == bands[i]).argmax(axis=1) == band]
+        if len(near):
+            yield i, near
+
+
+def linked(sets: list[np.ndarray], candidates, percent: int):
+    """The candidates (row, rows) whose sets, none of them empty, are as similar as asked for, as pairs of rows."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    known, place = np.unique(np.concatenate(sets), return_inverse=True)
+    for i, near in candidates:
+        mine = np.zeros(len(known), np.int64)
+        mine[place[starts[i] : starts[i] + sizes[i]]] = 1
+        near = near[100 * np.minimum(sizes[near], sizes[i]) >= percent * np.maximum(sizes[near], sizes[i])]
+        both = np.array([mine[place[starts[j] : starts[j] + sizes[j]]].sum() for j in near], np.int64)
+        yield from ((i, j) for j in near[(both > 0) & (100 * both >= percent * (sizes[near] + sizes[i] - both))])
+
+
+MEMBER = "key long, lo int, hi int, right boolean, id long, comp long, band int, first long, sig binary, bands array<long>"
+
+
+def _across(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between rows(key, n, band, first, id, comp, sig, bands) of one bucket but different components.
+
+    A bucket of n members is cut into blocks; a task compares two blocks, so no task holds a large bucket. Only members
+    with a candidate are sent on with their texts, a row each; pairs are made and confirmed on the full sets within a
+    task, which gives a forest of links: fewer rows than members."""
     blocks = rows.withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("k", F.pmod(F.xxhash64("id"), "nb").cast("int"))
-    spread = blocks.select("key", "id", "comp", "sig", "k", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
-    spread = spread.select("key", F.least("k", "j").alias("lo"), F.greatest("k", "j").alias("hi"), (F.col("k") > F.col("j")).alias("right"), "id", "comp", "sig")
-    dealt = spread.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-
-    def compare(group):
-        ids, comps = np.array([g[0] for g in group]), np.array([g[1] for g in group])
-        right, same = np.array([g[3] for g in group]), group[0][4]
-        sigs = np.frombuffer(b"".join(g[2] for g in group), np.uint8).reshape(-1, K // 2)
-        left = np.arange(len(ids)) if same else np.where(~right)[0]
-        other = np.arange(len(ids)) if same else np.where(right)[0]
-        for i in left:
-            near = other[(comps[other] != comps[i]) & (ids[other] > ids[i] if same else True)]
-            near = near[estimates(sigs[near], sigs[i]) >= LEAST_ESTIMATE]
-            yield from ((min(ids[i], x), max(ids[i], x)) for x in ids[near].tolist())
+    spread = blocks.select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
+    spread = spread.select("key", F.least("k", "j").alias("lo"), F.greatest("k", "j").alias("hi"), (F.col("k") > F.col("j")).alias("right"), "id", "comp", "band", "first", "sig", "bands")
+    together = lambda df: df.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    def run(batches):
-        at, group = None, []
-        for batch in batches:
-            out = []
-            for key, lo, hi, right, i, comp, sig in zip(*(batch.column(c).to_pylist() for c in ("key", "lo", "hi", "right", "id", "comp", "sig"))):
-                if (key, lo, hi) != at:
-                    out += compare(group) if len(group) > 1 else []
-                    at, group = (key, lo, hi), []
-                group.append((i, comp, sig, right, lo == hi))
-            yield pa.RecordBatch.from_arrays([pa.array([int(p[s]) for p in out], pa.int64()) for s in (0, 1)], names=["a", "b"])
-        out = list(compare(group)) if len(group) > 1 else []
-        yield pa.RecordBatch.from_arrays([pa.array([int(p[s]) for p in out], pa.int64()) for s in (0, 1)], names=["a", "b"])
+    members = T.StructType.fromDDL(MEMBER)
+    names, arrow = members.names, to_arrow_schema(members)
+
+    def pick(batches):
+        for group in _groups(batches, names):
+            used = np.zeros(len(group), bool)
+            for i, near in _candidates(group):
+                used[i] = True
+                used[near] = True
+            if used.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*(group[x] for x in np.flatnonzero(used))), arrow)], schema=arrow)
+
+    def confirm(batches):
+        hashes = WordHashes()
+        for group in _groups(batches, [*names, "text"]):
+            sets = [shingles(words(g[10]), k, hashes) for g in group]
+            group = [g for g, s in zip(group, sets) if len(s)]
+            sets = [s for s in sets if len(s)]
+            if len(group) > 1:
+                links = forest((group[i][4], group[j][4]) for i, j in linked(sets, _candidates(group), percent))
+                yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in links], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    picked = together(spread).mapInArrow(pick, MEMBER)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    return together(picked.join(texts, "id").select(*names, "text")).mapInArrow(confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -164,7 +210,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     reps, reps_path = cut(
         prof.where("n_shingles > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).dropDuplicates(["id"]), "reps"
     )
-    banded = reps.select("id", F.posexplode("bands").alias("band", "hash")).select("id", F.xxhash64("band", "hash").alias("key"))
+    banded = reps.select("id", F.posexplode("bands").alias("band", "hash")).select("id", "band", F.xxhash64("band", "hash").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
     members, members_path = cut(banded.join(buckets, "key"), "members")
     sig = reps.select("id", "sig")
@@ -174,9 +220,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     comps, comp_paths = connected_components(links)
     now = members.where("n > 2").join(comps, "id", "left").withColumn("comp", F.coalesce("component_id", "id"))
     mixed = now.groupBy("key").agg(F.min("comp").alias("c_min"), F.max("comp").alias("c_max"), F.count("*").alias("n")).where("c_min < c_max").select("key", "n")
-    rows = now.select("key", "id", "comp").join(mixed, "key").join(sig, "id").select("key", "n", "id", "comp", "sig")
-    tested = stars.select("a", "b")
-    more, more_path = cut(_confirmed(_across(rows).join(tested, ["a", "b"], "left_anti"), docs, k, percent), "links")
+    rows = now.select("key", "band", "first", "id", "comp").join(mixed, "key").join(reps.select("id", "sig", "bands"), "id")
+    more, more_path = cut(_across(rows, docs, k, percent), "links")
     paths = [links_path, more_path, members_path]
     if not more.isEmpty():
         joined = more.join(comps.select(F.col("id").alias("a"), F.col("component_id").alias("ca")), "a", "left").join(comps.select(F.col("id").alias("b"), F.col("component_id").alias("cb")), "b", "left")

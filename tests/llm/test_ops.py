@@ -75,6 +75,23 @@ def test_minhash_matches_brute_force(docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_minhash_links_within_a_bucket_of_unlinked_texts(spark):
+    """Texts that share most words but are below the threshold, and pairs among them above it, in more than one block."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(320):
+        own = base + [f"u{i}x{j}" for j in range(14)]
+        rows.append((2 * i, " ".join(own)))
+        if rng.random() < 0.3:
+            rows.append((2 * i + 1, " ".join(own[:-1] + ["other"])))
+    sets = {i: shingle_set(t) for i, t in rows}
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert 50 < len(linked) < 200
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == components(sets, linked)
+
+
 def test_estimate_is_near_the_similarity():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 400, np.uint64)
