@@ -57,7 +57,8 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     gone, paths = repeated_lines(docs, min_lines)
     gone, gone_path = cut(gone, "gone")
     drop(docs.sparkSession, *paths)
-    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(BIG_ID)).alias("d"), F.xxhash64("text").alias("th")).join(gone, KEY, "left")
+    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(BIG_ID)).alias("d"), F.xxhash64("text").alias("th"))
+    rows = rows.join(gone.hint("merge"), KEY, "left")  # gone grows with the corpus: sorted at every size, never broadcast
     parts = F.split("text", "\n")
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("lines")), lambda i: F.get(parts, i))
     starts: Column = F.size("lines") - F.size(F.array_intersect(F.col("lines"), F.transform("lines", lambda i: i + 1)))
