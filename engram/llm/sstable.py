@@ -52,14 +52,31 @@ def _bloom_places(key: bytes, bits: int) -> list[int]:
     return [(a + i * b) % bits for i in range(BLOOM_HASHES)]
 
 
+class Pieces(dict):
+    """Ids of words, computed once per word; emptied when it holds too many."""
+
+    LIMIT = 1_000_000
+
+    def __init__(self, ids, ids_of_lines):
+        self.ids, self.ids_of_lines = ids, ids_of_lines
+
+    def __missing__(self, word: str) -> bytes:
+        if "\n" in word:  # nearly unique, so not kept
+            return self.ids_of_lines(word, self)
+        if len(self) >= self.LIMIT:
+            self.clear()
+        out = self[word] = self.ids(word)
+        return out
+
+
 class Encoder:
     """Texts to ids by the tokenizers library; equal pieces of text are encoded once.
 
     The byte-level pre-tokenizer never joins text across a space that follows a text without other white space around
-    it, so a text may be cut before its spaces and the pieces encoded apart. Texts with a space between white space,
-    or with a special token, go to the library whole."""
+    it, so a text may be cut before its spaces and the pieces encoded apart; likewise at a line end between two pieces
+    without white space beside it. Texts with a space between white space, or with a special token, go to the library
+    whole."""
 
-    LIMIT = 1_000_000
     whole = re.compile(r"\s \s|<\|")
 
     def __init__(self, vocabulary: str, end_id: int):
@@ -67,56 +84,46 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_file(vocabulary), struct.pack("<I", end_id)
-        self.spaced: dict[str, bytes] = {}  # of words with a space before them
-        self.cuttable = self._leaves_spaces()
         self.model = self.tokenizer.model
         own = {*range(33, 127), *range(161, 173), *range(174, 256)}  # bytes that stand for themselves; the others follow from 256 on
         self.alphabet = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in own)}
         self.marks = dict(zip(".,!?;:", self._batch(list(".,!?;:"))))
+        self.line_end = self._batch(["\n"])[0]
+        self.cuttable, self.lines = self._cut("a b") == ["a", "Ġb"] and self.tokenizer.normalizer is None, self._cut("a.\nb") == ["a", ".", "Ċ", "b"]
+        self.bare = Pieces(lambda x: self._word(x, self.bare, ""), self._of_lines)
+        self.spaced = Pieces(lambda x: self._word(x, self.spaced, " "), self._of_lines)
 
-    def _leaves_spaces(self) -> bool:
-        pre = self.tokenizer.pre_tokenizer
-        return pre is not None and [x for x, _ in pre.pre_tokenize_str("a b")] == ["a", "Ġb"] and self.tokenizer.normalizer is None
+    def _cut(self, text: str) -> list[str]:
+        return [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)] if self.tokenizer.pre_tokenizer else []
 
     def _batch(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word(self, word: str) -> bytes:
-        """Of a space and letters, which are one piece for the model, in its alphabet of bytes."""
-        spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
-        return array("I", [t.id for t in self.model.tokenize("Ġ" + spelt)]).tobytes()
+    def _word(self, word: str, known: Pieces, before: str) -> bytes:
+        """Of a word and what is before it: letters are one piece for the model, in its alphabet of bytes."""
+        if word.isalpha():
+            spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+            return array("I", [t.id for t in self.model.tokenize("Ġ" + spelt if before else spelt)]).tobytes()
+        if word[-1:] in self.marks and word[:-1].isalpha():  # the word and the mark are encoded apart
+            return known[word[:-1]] + self.marks[word[-1]]
+        return self._batch([before + word])[0]
+
+    def _of_lines(self, word: str, known: Pieces) -> bytes:
+        first, *rest = word.split("\n")
+        if self.lines and all(x and x == x.strip() for x in (first, *rest)):
+            return self.line_end.join([known[first], *map(self.bare.__getitem__, rest)])
+        return self._batch([(" " if known is self.spaced else "") + word])[0]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian u32, with the end id."""
-        out: list[bytes] = [self.end] * len(texts)
-        cut, starts, rests, whole = [], [], [], []
-        for i, text in enumerate(texts):
+        out: list[bytes] = []
+        of = self.spaced.__getitem__
+        for text in texts:
             if text and self.cuttable and not self.whole.search(text):
                 first, *rest = text.split(" ")
-                cut.append(i)
-                starts.append(first)
-                rests.append(rest)
-            elif text:
-                whole.append(i)
-        for i, ids in zip(whole, self._batch([texts[i] for i in whole])):
-            out[i] = ids + self.end
-        get = self.spaced.get
-        if len(self.spaced) > self.LIMIT:
-            self.spaced.clear()
-        found = [list(map(get, rest)) for rest in rests]
-        gaps = [k for k, ids in enumerate(found) if None in ids]
-        missing = {x for k in gaps for x, ids in zip(rests[k], found[k]) if ids is None}
-        if missing:
-            ended = [x for x in missing if x[-1:] in self.marks and x[:-1].isalpha()]  # the word and the mark are encoded apart
-            bare = {*missing.difference(ended), *(w for x in ended if (w := x[:-1]) not in self.spaced)}
-            self.spaced.update((x, self._word(x)) for x in bare if x.isalpha())
-            other = [x for x in bare if not x.isalpha()]
-            self.spaced.update(zip(other, self._batch([" " + x for x in other])))
-            self.spaced.update((x, self.spaced[x[:-1]] + self.marks[x[-1]]) for x in ended)
-            for k in gaps:
-                found[k] = list(map(get, rests[k]))
-        for i, first, ids in zip(cut, self._batch(starts), found):
-            out[i] = b"".join([first, *ids, self.end])
+                out.append(b"".join([self.bare[first] if first else b"", *map(of, rest), self.end]))
+            else:
+                out.append((self._batch([text])[0] if text else b"") + self.end)
         return out
 
 
