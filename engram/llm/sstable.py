@@ -232,8 +232,9 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0,
     Null text counts as empty; other columns are ignored. Shard names carry a random part, so a task that runs again
     writes other files, and only those in the committed manifest count. The manifest has a row per 32 million ids."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
-    ranged = rows.repartitionByRange(*([parts] if parts else []), *order).sortWithinPartitions(*order)
+    by_id, by_text = F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()
+    ranges = [by_id, F.substring("text", 1, 64).asc_nulls_first()]  # the driver samples these: no whole texts
+    ranged = rows.repartitionByRange(*([parts] if parts else []), *ranges).sortWithinPartitions(by_id, by_text)
 
     def write(batches):
         from pyspark import TaskContext

@@ -191,7 +191,7 @@ def test_token_shards_round_trip(spark, docs, empty, tmp_path):
     assert sstable.encode_and_store(empty, vocabulary_path()).count() == 0
 
 
-@pytest.mark.parametrize("text", ["a  b", "a   b", " x", "x ", "\n \nb", "foo\n bar", "don't 12 3", "\t a\tb", "é è, ñ!", "<|endoftext|> x", "word, word. Über?"])
+@pytest.mark.parametrize("text", ["a  b", "a   b", " x", "x ", "\n \nb", "foo\n bar", "don't 12 3", "\t a\tb", "é è, ñ!", "<|endoftext|> x", "word, word. Über?", "a.\nb, c\nd", "a \nb", "a\n\nb", "x\t\ny", "é\nü,\n(b)", "\na\n", "a\r\nb", "don't\nwe'll", "a\u2003b\u2003\nc", "a\x1c\nb"])
 def test_pieces_give_the_ids_of_the_whole(text):
     e = sstable.Encoder(vocabulary_path(), 0)
     assert np.frombuffer(e.ids([text])[0], "<u4").tolist() == [*e.tokenizer.encode(text, add_special_tokens=False).ids, 0]
