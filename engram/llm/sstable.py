@@ -53,19 +53,20 @@ def _bloom_places(key: bytes, bits: int) -> list[int]:
 
 
 class Pieces(dict):
-    """Ids of words, computed once per word; emptied when it holds too many."""
+    """Ids of words; holds at most twice LIMIT of them, and those that were not asked for of late go first."""
 
-    LIMIT = 1_000_000
+    LIMIT = 350_000
 
     def __init__(self, ids, ids_of_lines):
-        self.ids, self.ids_of_lines = ids, ids_of_lines
+        self.ids, self.ids_of_lines, self.before = ids, ids_of_lines, {}
 
     def __missing__(self, word: str) -> bytes:
         if "\n" in word:  # nearly unique, so not kept
             return self.ids_of_lines(word, self)
         if len(self) >= self.LIMIT:
+            self.before = dict(self)
             self.clear()
-        out = self[word] = self.ids(word)
+        out = self[word] = self.before.get(word) or self.ids(word)
         return out
 
 
