@@ -503,6 +503,25 @@ def strip_tags(s, d):
     return _tagged(s, d).select("id", F.regexp_replace(E.strip_tool_calls("text"), r"^x\s*", "x  ").alias("text"))
 
 
+@query(f"with {EDGES} select id from edges where cast(substr(target_id, 2) as bigint) % 10 <> 0")
+def node_delete_cascade(s, d):
+    """Edges that are left when every tenth part is deleted."""
+    n = P.nodes(s, d).select(F.concat(F.lit("P"), F.col("id").cast("string")).alias("id"), (F.col("id") % 10 == 0).alias("gone"))
+    return T.delete_cascade(n, n.where("gone"), P.edges(s, d))[1].select("id")
+
+
+@query(f"with {NODES}, {LINKS} select id, access_count + coalesce(c, 0) as access_count from nodes left join (select node_id, count(*) as c from links group by 1) on node_id = id")
+def node_access_hits(s, d):
+    """Each link to a memory counts as a read of its node."""
+    return T.add_hits(P.nodes(s, d), P.links(s, d).select(F.col("node_id").alias("id")), "id", "access_count").select("id", "access_count")
+
+
+@query(f"with {EDGES} select id, case when weight >= 0.7 then 0.95::double else confidence end as confidence from edges")
+def edge_confidence_patch(s, d):
+    e = P.edges(s, d)
+    return T.patch(e, e.where("weight >= 0.7").select("id", F.lit(0.95).alias("confidence")), "id").select("id", "confidence")
+
+
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """Text to seeds to a one-hop neighbourhood: the strongest co-ordered parts around the best keyword matches."""
     found, n = _seeds(s, d)
