@@ -5,7 +5,8 @@ ranks of a run's halves is sorted over the cluster and its place in that order i
 occur once leave after each round, since nothing longer that starts there can repeat. A run length that is no power of
 two is ranked by its first and last halves, which overlap. Places with equal rank are an interval of the suffix array
 whose longest common prefix is at least the run length; all but the first place in (doc_id, line) order are later
-copies. Overlapping copies unite to maximal repeated runs, whose lines are deleted."""
+copies. Overlapping copies unite to maximal repeated runs, whose lines are deleted. From one line on, a run of blank
+lines only is no copy before it has MIN_LINES of them: they are layout, and part of a longer run when that repeats."""
 
 from __future__ import annotations
 
@@ -24,29 +25,40 @@ def _ranked(rows: DataFrame, halves: list[str], what: str) -> tuple[DataFrame, s
     return cut(again.select(*halves, F.monotonically_increasing_id().alias("new_rank")), what)
 
 
+def _later(level: DataFrame, span: int) -> tuple[DataFrame, list[str]]:
+    """(d, th, i) of the lines of later copies among runs of span lines, some of them twice; written, as level is dropped."""
+    place = F.struct("d", "th", "i")
+    runs = level if span >= MIN_LINES else level.where("not blank")
+    first, first_path = cut(runs.groupBy("rank").agg(F.min(place).alias("first")), "first")
+    later = runs.join(first, "rank").where(place != F.col("first"))
+    lines, path = cut(later.select("d", "th", F.explode(F.sequence("i", F.col("i") + (span - 1))).alias("i")), "later")
+    drop(level.sparkSession, first_path)
+    return lines, [path]
+
+
 def repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> tuple[DataFrame, list[str]]:
     """(d, th, lines): sorted numbers of the deleted lines of each text that has some; d is doc_id with null as the
     largest, th the text's hash. And the paths to drop after use."""
     lines = docs.select(F.coalesce("doc_id", F.lit(BIG_ID)).alias("d"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    hashed = lines.select("d", "th", "i", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2")).distinct()
+    hashed = lines.select("d", "th", "i", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), (~F.col("line").rlike(r"\S")).alias("blank")).distinct()
     base, base_path = cut(hashed, "lines")
     names, names_path = _ranked(base, ["h1", "h2"], "ranks")
-    level, path = cut(base.join(names, ["h1", "h2"]).select("d", "th", "i", F.col("new_rank").alias("rank")), "level")
+    level, path = cut(base.join(names, ["h1", "h2"]).select("d", "th", "i", "blank", F.col("new_rank").alias("rank")), "level")
     drop(docs.sparkSession, base_path, names_path)
-    span = 1
-    while span < min_lines:
-        step = min(span, min_lines - span)
-        ahead = level.select("d", "th", (F.col("i") - step).alias("i"), F.col("rank").alias("next"))
+    span, longest = 1, max(min_lines, MIN_LINES)
+    covered, paths = _later(level, span) if span >= min_lines else (None, [])
+    while span < longest:
+        step = min(span, longest - span)
+        ahead = level.select("d", "th", (F.col("i") - step).alias("i"), F.col("rank").alias("next"), F.col("blank").alias("next_blank"))
         pairs, pairs_path = cut(level.join(ahead, [*KEY, "i"]), "pairs")
         names, names_path = _ranked(pairs, ["rank", "next"], "ranks")
-        longer, longer_path = cut(pairs.join(names, ["rank", "next"]).select("d", "th", "i", F.col("new_rank").alias("rank")), "level")
+        longer, longer_path = cut(pairs.join(names, ["rank", "next"]).select("d", "th", "i", (F.col("blank") & F.col("next_blank")).alias("blank"), F.col("new_rank").alias("rank")), "level")
         drop(docs.sparkSession, path, pairs_path, names_path)
         level, path, span = longer, longer_path, span + step
-    place = F.struct("d", "th", "i")
-    first, first_path = cut(level.groupBy("rank").agg(F.min(place).alias("first")), "first")
-    later = level.join(first, "rank").where(place != F.col("first"))
-    covered = later.select("d", "th", F.explode(F.sequence("i", F.col("i") + (min_lines - 1))).alias("i"))
-    return covered.groupBy("d", "th").agg(F.array_sort(F.collect_set("i")).alias("lines")), [path, first_path]
+        if span >= min_lines:
+            more, more_paths = _later(level, span)
+            covered, paths = more if covered is None else covered.unionByName(more), [*paths, *more_paths]
+    return covered.groupBy("d", "th").agg(F.array_sort(F.collect_set("i")).alias("lines")), [path, *paths]
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:

@@ -67,7 +67,7 @@ def op8_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from engram.llm.linededup import dedup_lines
 
-    done = dedup_lines(read_table(spark, sf_dir, "documents"))
+    done = dedup_lines(read_table(spark, sf_dir, "documents"), min_lines=1)
     return done.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -13,7 +13,7 @@ from engram.llm.decontaminate import leaks
 from engram.llm.embeddings import linked_vectors
 from engram.llm.linededup import dedup_lines
 from engram.llm.mixing import mix, split_quotas, targets
-from engram.llm.queries import vocabulary_path
+from engram.llm.queries import QUERIES, vocabulary_path
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, h long, size long, unit int, key string"
 
@@ -214,6 +214,16 @@ def test_line_dedup_matches_brute_force(docs, empty):
     assert dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_removes_copies_of_one_and_two_lines(spark, tmp_path):
+    long = " ".join(f"word{i}" for i in range(60))
+    texts = [long, long, "a one\nb two", "a one\nb two", "own 1\n" + long + "\nown 2", "own 3\n\nown 4", "own 5\n\nown 6\n\n\nown 7", "own 6\n\n\nown 8", "own 9\nown 9", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    want = [texts[0], "", texts[2], "", "own 1\nown 2", texts[5], texts[6], "own 8", "own 9", None]
+    sha = lambda t: None if t is None else hashlib.sha256(t.encode()).hexdigest()
+    got = {r.doc_id: (r.n_removed, r.kept_sha256) for r in QUERIES["op9_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {i: (n, sha(t)) for i, (n, t) in enumerate(zip([0, 1, 0, 2, 1, 0, 0, 3, 1, 0], want))}
+
+
 def test_reparameterised_questions_are_caught(spark, empty):
     item = "A train with 12 cars leaves the station at 9 and runs 80 km each hour while Alice waits 80 minutes for it"
     bench = spark.createDataFrame([(1, item, 5), (2, None, 5), (3, "too short", 5)], "item_id long, text string, doc_id long")
