@@ -1,18 +1,18 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 Numbers, names and units become typed placeholders, so a question and its re-parameterised copy have the same template.
-Windows of W template tokens are hashed and joined. Documents are first probed with every STRIDE-th window against all
-windows of the benchmark, which meets every shared run of W + STRIDE - 1 tokens; the documents that were hit are then
-matched with all their windows. Matches of one document and item on one diagonal (the same distance between the two
+Windows of W template tokens are hashed and joined; an item of fewer tokens has one window, of its whole length, and is
+met by windows of that length. Documents are first probed with the hashes of all their windows, which meets every shared
+run of W tokens and every short item; the documents that were hit are then matched with their tokens. Matches of one document and item on one diagonal (the same distance between the two
 positions) are one occurrence, and count only if its slots are consistent: each value of the item stands for one value
-of the document throughout. An item leaked into a document if consistent occurrences cover LEAST of its windows."""
+of the document throughout. A short item of placeholders only must be met unchanged. An item leaked into a document if consistent occurrences cover LEAST of its windows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-W, STRIDE, LEAST = 8, 4, 0.5
+W, LEAST = 8, 0.5
 #: Windows of a benchmark up to which it is broadcast; beyond, the join shuffles.
 BROADCAST_WINDOWS = 1_000_000
 #: Spellings of units that may follow a number.
@@ -37,34 +37,39 @@ def template_arrays(text: Column) -> tuple[Column, Column]:
     return tokens(F.lower(spaced)), tokens(shaped)
 
 
-def _windows(template: Column, stride: int) -> Column:
-    n = F.size(template)
-    at = F.when(n >= W, F.sequence(F.lit(0), n - W, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(template, i + 1, W)).alias("h")))
+def _windows(template: Column, length: Column | int = W) -> Column:
+    n, length = F.size(template), length if isinstance(length, Column) else F.lit(length)
+    at = F.when((length > 0) & (n >= length), F.sequence(F.lit(0), n - length)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(length, F.slice(template, i + 1, length)).alias("h"), length.alias("n")))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """Pairs of docs(doc_id, text) and benchmark(item_id, text): doc_id, item_id, windows, item_windows, coverage, reparameterised.
 
     coverage is the share of the item's distinct windows that consistent occurrences cover; reparameterised says that some
-    slot differs. Null ids are in no pair; null and empty texts and items of fewer than W tokens have no windows and match
+    slot differs. Null ids are in no pair; null and empty texts have no windows and match
     nothing; repeated rows count once; other columns are ignored; an empty table gives no rows."""
     item_tokens, item_template = template_arrays(F.col("text"))
     items = benchmark.where("item_id is not null").select("item_id", item_tokens.alias("it"), item_template.alias("ip")).distinct()
-    index = items.select("item_id", "it", F.explode(_windows(F.col("ip"), 1)).alias("w")).select("item_id", F.col("w.at").alias("j"), F.col("w.h").alias("h"), F.slice("it", F.col("w.at") + 1, W).alias("iv"))
+    bare = (F.size("ip") < W) & ~F.exists("ip", lambda x: ~x.startswith("§"))
+    index = items.select("item_id", "it", bare.alias("bare"), F.explode(_windows(F.col("ip"), F.least(F.size("ip"), F.lit(W)))).alias("w"))
+    index = index.select("item_id", "bare", F.col("w.at").alias("j"), F.col("w.h").alias("h"), F.slice("it", F.col("w.at") + 1, F.col("w.n")).alias("iv"))
+    short = [r.n for r in items.select(F.size("ip").alias("n")).where((F.col("n") > 0) & (F.col("n") < W)).distinct().collect()]
+    windows = lambda p: F.concat(*(_windows(p, n) for n in [W, *sorted(short)]))
     n = index.select("h").count()
     small = F.broadcast if n <= BROADCAST_WINDOWS else (lambda df: df)
     totals = index.groupBy("item_id").agg(F.count_distinct("h").alias("item_windows"))
     known = docs.where("doc_id is not null").select("doc_id", "text")
     _, template = template_arrays(F.col("text"))
-    probes = known.select("doc_id", template.alias("p")).select("doc_id", F.explode(F.transform(_windows(F.col("p"), STRIDE), lambda x: x["h"])).alias("h"))
+    probes = known.select("doc_id", template.alias("p")).select("doc_id", F.explode(F.transform(windows(F.col("p")), lambda x: x["h"])).alias("h"))
     hit = probes.join(small(index.select("h").distinct()), "h", "left_semi").select("doc_id").distinct()
     tokens, template = template_arrays(F.col("text"))
     again = known.join(hit, "doc_id", "left_semi").select("doc_id", tokens.alias("t"), template.alias("p"))
-    full = again.select("doc_id", "t", "p", F.explode(_windows(F.col("p"), 1)).alias("w"))
-    full = full.select("doc_id", F.col("w.at").alias("i"), F.col("w.h").alias("h"), F.slice("t", F.col("w.at") + 1, W).alias("dv"), F.slice("p", F.col("w.at") + 1, W).alias("pv"))
+    full = again.select("doc_id", "t", "p", F.explode(windows(F.col("p"))).alias("w"))
+    full = full.select("doc_id", F.col("w.at").alias("i"), F.col("w.h").alias("h"), F.slice("t", F.col("w.at") + 1, F.col("w.n")).alias("dv"), F.slice("p", F.col("w.at") + 1, F.col("w.n")).alias("pv"))
     met = full.join(small(index), "h").withColumn("diagonal", F.col("i") - F.col("j"))
     slots = F.filter(F.arrays_zip("pv", "iv", "dv"), lambda x: x["pv"].startswith("§"))
+    met = met.where(~F.col("bare") | (F.col("iv") == F.col("dv")))
     met = met.select("doc_id", "item_id", "diagonal", "h", F.transform(slots, lambda x: F.struct(F.concat(x["pv"], x["iv"]).alias("of"), x["dv"].alias("is"))).alias("slots"))
     runs = met.groupBy("doc_id", "item_id", "diagonal").agg(F.collect_set("h").alias("hs"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda x: x["of"])))

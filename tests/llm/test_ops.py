@@ -236,6 +236,17 @@ def test_reparameterised_questions_are_caught(spark, empty):
     assert leaks(empty, bench).count() == 0
 
 
+def test_short_items_are_caught_at_every_offset(spark):
+    words = "where did the old baker of our village hide his"
+    items = [(n, " ".join(f"{w}{'abcdefghijk'[n]}" for w in words.split()[:n])) for n in range(1, 11)] + [(11, "17"), (12, "is 7 times 8")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(100 * n + k, "so " * k + t + " then he went away again") for n, t in items[:10] for k in range(5)]
+    rows += [(2000, "about 17 of them"), (2001, "about 18 of them"), (2002, "what is 3 times 5"), (2003, "nothing")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.reparameterised) for r in leaks(docs, bench).collect()}
+    assert got == {(100 * n + k, n, False) for n in range(1, 11) for k in range(5)} | {(2000, 11, False), (2002, 12, True)}
+
+
 def test_embeddings_match_brute_force(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(8, 12))
