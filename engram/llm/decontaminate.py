@@ -2,17 +2,20 @@
 
 Numbers, names and units become typed placeholders, so a question and its re-parameterised copy have the same template.
 Windows of W template tokens are hashed and joined; an item of fewer tokens has one window, of its whole length, and is
-met by windows of that length. Documents are first probed with the hashes of all their windows, which meets every shared
-run of W tokens and every short item; the documents that were hit are then matched with their tokens. Matches of one document and item on one diagonal (the same distance between the two
-positions) are one occurrence, and count only if its slots are consistent: each value of the item stands for one value
-of the document throughout. A short item of placeholders only must be met unchanged. An item leaked into a document if consistent occurrences cover LEAST of its windows."""
+met by windows of that length. Documents are first probed with the hashes of all their windows, which meets every
+shared run of W tokens and every short item; the documents that were hit are then matched with their tokens. Matches of
+one document and item on one diagonal (the same distance between the two positions) are one occurrence, and count only
+if its slots are consistent: each value of the item stands for one value of the document throughout. A short item of
+placeholders only must be met unchanged. An item leaked into a document if consistent occurrences cover LEAST of its
+windows, or if one run of adjoining windows is RUN tokens long, however long the item is. Such a run is an unbroken one
+with consistent slots from end to end, or a part of one in which no slot differs."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-W, LEAST = 8, 0.5
+W, LEAST, RUN = 8, 0.5, 13
 #: Windows of a benchmark up to which it is broadcast; beyond, the join shuffles.
 BROADCAST_WINDOWS = 1_000_000
 #: Spellings of units that may follow a number.
@@ -43,17 +46,25 @@ def _windows(template: Column, length: Column | int = W) -> Column:
     return F.transform(at, lambda i: F.struct(i.alias("at"), F.xxhash64(length, F.slice(template, i + 1, length)).alias("h"), length.alias("n")))
 
 
+def _long_runs(met: DataFrame) -> DataFrame:
+    """(doc_id, item_id, hs, slots) of the unbroken runs of RUN tokens or more among matches of whole windows."""
+    diagonal = ["doc_id", "th", "item_id", "ih", "diagonal"]
+    runs = met.withColumn("run", F.col("i") - F.dense_rank().over(Window.partitionBy(*diagonal).orderBy("i")))
+    runs = runs.groupBy(*diagonal, "run").agg(F.count_distinct("i").alias("n"), F.collect_set("h").alias("hs"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    return runs.where(F.col("n") >= RUN - W + 1).select("doc_id", "item_id", "hs", "slots")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """Pairs of docs(doc_id, text) and benchmark(item_id, text): doc_id, item_id, windows, item_windows, coverage, reparameterised.
 
-    coverage is the share of the item's distinct windows that consistent occurrences cover; reparameterised says that some
+    coverage is the share of the item's distinct windows that consistent occurrences and long runs cover; reparameterised says that some
     slot differs. Null ids are in no pair; null and empty texts have no windows and match
     nothing; repeated rows count once; other columns are ignored; an empty table gives no rows."""
     item_tokens, item_template = template_arrays(F.col("text"))
     items = benchmark.where("item_id is not null").select("item_id", item_tokens.alias("it"), item_template.alias("ip")).distinct()
     bare = (F.size("ip") < W) & ~F.exists("ip", lambda x: ~x.startswith("§"))
-    index = items.select("item_id", "it", bare.alias("bare"), F.explode(_windows(F.col("ip"), F.least(F.size("ip"), F.lit(W)))).alias("w"))
-    index = index.select("item_id", "bare", F.col("w.at").alias("j"), F.col("w.h").alias("h"), F.slice("it", F.col("w.at") + 1, F.col("w.n")).alias("iv"))
+    index = items.select("item_id", "it", F.xxhash64("it").alias("ih"), bare.alias("bare"), F.explode(_windows(F.col("ip"), F.least(F.size("ip"), F.lit(W)))).alias("w"))
+    index = index.select("item_id", "ih", "bare", F.col("w.at").alias("j"), F.col("w.h").alias("h"), F.slice("it", F.col("w.at") + 1, F.col("w.n")).alias("iv"))
     short = [r.n for r in items.select(F.size("ip").alias("n")).where((F.col("n") > 0) & (F.col("n") < W)).distinct().collect()]
     windows = lambda p: F.concat(*(_windows(p, n) for n in [W, *sorted(short)]))
     n = index.select("h").count()
@@ -64,16 +75,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFr
     probes = known.select("doc_id", template.alias("p")).select("doc_id", F.explode(F.transform(windows(F.col("p")), lambda x: x["h"])).alias("h"))
     hit = probes.join(small(index.select("h").distinct()), "h", "left_semi").select("doc_id").distinct()
     tokens, template = template_arrays(F.col("text"))
-    again = known.join(hit, "doc_id", "left_semi").select("doc_id", tokens.alias("t"), template.alias("p"))
-    full = again.select("doc_id", "t", "p", F.explode(windows(F.col("p"))).alias("w"))
-    full = full.select("doc_id", F.col("w.at").alias("i"), F.col("w.h").alias("h"), F.slice("t", F.col("w.at") + 1, F.col("w.n")).alias("dv"), F.slice("p", F.col("w.at") + 1, F.col("w.n")).alias("pv"))
+    again = known.join(hit, "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("th"), tokens.alias("t"), template.alias("p"))
+    full = again.select("doc_id", "th", "t", "p", F.explode(windows(F.col("p"))).alias("w"))
+    full = full.select("doc_id", "th", F.col("w.at").alias("i"), F.col("w.h").alias("h"), F.slice("t", F.col("w.at") + 1, F.col("w.n")).alias("dv"), F.slice("p", F.col("w.at") + 1, F.col("w.n")).alias("pv"))
     met = full.join(small(index), "h").withColumn("diagonal", F.col("i") - F.col("j"))
     slots = F.filter(F.arrays_zip("pv", "iv", "dv"), lambda x: x["pv"].startswith("§"))
     met = met.where(~F.col("bare") | (F.col("iv") == F.col("dv")))
-    met = met.select("doc_id", "item_id", "diagonal", "h", F.transform(slots, lambda x: F.struct(F.concat(x["pv"], x["iv"]).alias("of"), x["dv"].alias("is"))).alias("slots"))
+    met = met.select("doc_id", "th", "item_id", "ih", "diagonal", "i", "h", (F.size("iv") == W).alias("whole"), (F.col("iv") == F.col("dv")).alias("same"), F.transform(slots, lambda x: F.struct(F.concat(x["pv"], x["iv"]).alias("of"), x["dv"].alias("is"))).alias("slots"))
     runs = met.groupBy("doc_id", "item_id", "diagonal").agg(F.collect_set("h").alias("hs"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda x: x["of"])))
     changed = F.exists("slots", lambda x: F.substring(x["of"], 3, 1000) != x["is"])
-    found = runs.where(consistent).select("doc_id", "item_id", "hs", changed.alias("changed")).groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hs")))).alias("windows"), F.max("changed").alias("reparameterised"))
+    whole = met.where("whole")
+    long = _long_runs(whole).unionByName(_long_runs(whole.where("same")))
+    found = runs.select("doc_id", "item_id", "hs", "slots", F.lit(False).alias("long")).unionByName(long.withColumn("long", F.lit(True))).where(consistent)
+    found = found.select("doc_id", "item_id", "hs", "long", changed.alias("changed")).groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("hs")))).alias("windows"), F.max("long").alias("long"), F.max("changed").alias("reparameterised"))
     share = F.col("windows") / F.col("item_windows")
-    return found.join(totals, "item_id").where(share >= least).select("doc_id", "item_id", F.col("windows").cast("long").alias("windows"), "item_windows", F.round(share, 6).alias("coverage"), "reparameterised")
+    return found.join(totals, "item_id").where((share >= least) | F.col("long")).select("doc_id", "item_id", F.col("windows").cast("long").alias("windows"), "item_windows", F.round(share, 6).alias("coverage"), "reparameterised")

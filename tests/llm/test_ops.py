@@ -247,6 +247,18 @@ def test_short_items_are_caught_at_every_offset(spark):
     assert got == {(100 * n + k, n, False) for n in range(1, 11) for k in range(5)} | {(2000, 11, False), (2002, 12, True)}
 
 
+def test_long_runs_of_long_items_are_caught(spark):
+    item = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(500)]
+    item[300], item[310] = "40", "40"
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    part = lambda a, b, **new: "so it was " + " ".join(new.get(f"at{i}", item[i]) for i in range(a, b)) + " and then it ended"
+    rows = [(1, part(10, 23)), (2, part(10, 22)), (3, part(100, 300)), (4, part(295, 320, at300="50", at310="50")), (5, part(295, 312, at300="50", at310="60")), (6, part(280, 312, at300="50", at310="60"))]
+    rows += [(7, part(10, 20) + " " + part(40, 50)), (8, part(10, 20)), (8, part(20, 30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.windows, r.reparameterised) for r in leaks(docs, bench).collect()}
+    assert got == {1: (6, False), 3: (193, False), 4: (18, True), 6: (13, False)}
+
+
 def test_embeddings_match_brute_force(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(8, 12))
