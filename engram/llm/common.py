@@ -45,14 +45,41 @@ def cut(df: DataFrame, what: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = fresh_path(spark, what)
     df.write.parquet(path)
+    owned(spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def _store(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def owned(spark: SparkSession, *paths: str) -> None:
+    """Paths that nobody else names: they go with the driver's JVM at the latest, as results are read from them till then."""
+    for path in paths:
+        fs, at = _store(spark, path)
+        fs.deleteOnExit(at)
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
-    jvm = spark.sparkContext._jvm
     for path in paths:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        fs, at = _store(spark, path)
+        fs.delete(at, True)
+
+
+#: A key with more than this share of the rows is frequent; there are fewer than 1 / SHARE such keys, so they are broadcast.
+SHARE = 0.001
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows joined with keyed(*keys, n, ...), whose n counts the rows of a key among all total.
+
+    Rows of frequent keys meet them by broadcast and are never shuffled by their key; the others are, and no key of theirs
+    has more than SHARE of the rows."""
+    often = F.col("n") > max(total, 1) * SHARE
+    hot = F.broadcast(keyed.where(often))
+    rest = rows.join(F.broadcast(keyed.where(often).select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(keyed.where(~often), keys))
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from engram.llm import minhash, sharding, sstable, substrings, toxicity, warc
 from engram.llm.decontaminate import leaks
@@ -197,20 +198,50 @@ def test_pieces_give_the_ids_of_the_whole(text):
     assert np.frombuffer(e.ids([text])[0], "<u4").tolist() == [*e.tokenizer.encode(text, add_special_tokens=False).ids, 0]
 
 
-def test_line_dedup_matches_brute_force(docs, empty):
-    seen, want = {}, {}
-    rows = sorted({(2**63 - 1 if r.doc_id is None else r.doc_id, r.text) for r in docs.collect() if r.text is not None}, key=lambda r: (r[0],))
-    for i, t in rows:
-        lines = t.split("\n")
-        gone = set()
-        for j in range(len(lines) - 2):
-            w = tuple(lines[j : j + 3])
-            if seen.setdefault(w, (i, j)) != (i, j):
-                gone |= {j, j + 1, j + 2}
-        want[i, t] = ("\n".join(x for j, x in enumerate(lines) if j not in gone), len(gone))
-    got = dedup_lines(docs).collect()
-    assert len(got) == docs.count()
-    assert sorted((r.text, r.n_removed) for r in got if r.text is not None and r.doc_id is not None) == sorted(want[r.doc_id, r.text] for r in docs.collect() if r.text is not None and r.doc_id is not None)
+def brute_lines(rows, least):
+    """(text, lines removed, maximal later runs) by the longest earlier, non-overlapping match of every place."""
+    rows = sorted(rows)
+    out, all_lines = {}, [(i, t.split("\n")) for i, t in rows]
+    for k, (i, lines) in enumerate(all_lines):
+        runs = []
+        for j in range(len(lines)):
+            best = 0
+            for e in range(k + 1):
+                other = all_lines[e][1]
+                for q in range(len(other) if e < k else j):
+                    m = 0
+                    while j + m < len(lines) and q + m < len(other) and lines[j + m] == other[q + m] and (e < k or q + m < j):
+                        m += 1
+                    while m and not any(x.strip() for x in lines[j : j + m]) and m < 3:
+                        m = 0
+                    best = max(best, m)
+            if best >= least:
+                if runs and j < runs[-1][1]:
+                    runs[-1][1] = max(runs[-1][1], j + best)
+                else:
+                    runs.append([j, j + best])
+        gone = {x for a, b in runs for x in range(a, b)}
+        out[i] = ("\n".join(x for j, x in enumerate(lines) if j not in gone), len(gone), len(runs))
+    return out
+
+
+@pytest.mark.parametrize(("least", "letters"), [(1, "ab "), (3, "ab"), (5, "ab")])
+def test_line_dedup_matches_brute_force(spark, least, letters):
+    rng = random.Random(least)
+    rows = [(i, "\n".join(rng.choice(letters).strip() for _ in range(rng.randint(1, 14)))) for i in range(14)]
+    rows += [(20, "\n".join("a" * 6)), (21, "\n".join("ab" * 4)), (22, "\n".join("zyx" * 5)), (23, rows[0][1] + "\n" + rows[3][1])]
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), least).collect()
+    assert {r.doc_id: (r.text, r.n_removed, r.n_runs) for r in got} == brute_lines(rows, least)
+
+
+def test_line_dedup_keeps_first_copies_whole(spark, docs, empty):
+    rows = [(1, "\n".join("a" * 6)), (2, "\n".join("xyxyxyxy")), (3, None), (4, ""), (5, "own line\n" * 3000)]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed, r.n_runs) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == ("a\na\na", 6, 3, 1) and got[2] == ("x\ny\nx\ny", 8, 4, 1)
+    assert got[3] == (None, 0, 0, 0) and got[4] == ("", 1, 0, 0) and got[5][1] == 3001 and set(got[5][0].split("\n")) == {"own line", ""}
+    clash = docs.withColumn("d", F.lit(1)).withColumn("th", F.lit(2)).withColumn("runs", F.lit(3)).withColumn("rank", F.lit(4))
+    same = lambda df: sorted((str(r.doc_id), str(r.text), r.n_removed, r.n_runs) for r in dedup_lines(df).collect())
+    assert same(clash) == same(docs) and len(same(docs)) == docs.count()
     assert dedup_lines(empty).count() == 0
 
 
