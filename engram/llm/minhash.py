@@ -2,7 +2,7 @@
 
 1. Each text gives the set of its word shingles (64-bit hashes), a digest of that set, full minima of K hash functions,
    hashes of bands of minima, and a packed signature of the low B bits of each minimum.
-2. Equal sets collapse to one representative, the smallest doc_id; copies are not compared again.
+2. Equal sets collapse to one class with a number of its own; copies are not compared again.
 3. Representatives that share a band hash are candidates. In each bucket every member is paired with the bucket's
    smallest member, so pairs grow with the rows and not with the square of a bucket.
 4. Bit counts of the packed signatures estimate the similarity, corrected for chance agreement of low bits; pairs far
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from engram.llm.common import WordHashes, connected_components, cut, drop, forest, shingles, words
+from engram.llm.common import WordHashes, connected_components, cut, drop, forest, join_counted, shingles, words
 
 K, BAND_ROWS, B = 96, 4, 4
 BANDS = K // BAND_ROWS
@@ -72,8 +72,7 @@ def profile(docs: DataFrame, k: int) -> DataFrame:
                 row = {"doc_id": doc_id.as_py(), "n_shingles": len(s)}
                 if len(s):
                     m = minima(s)
-                    raw = s.tobytes()
-                    row |= {"c1": xxhash.xxh64_intdigest(raw) - 2**63, "c2": xxhash.xxh64_intdigest(raw, 7) - 2**63, "sig": packed(m)}
+                    row |= {"c1": _digest(s), "c2": _digest(s, 7), "sig": packed(m)}
                     row["bands"] = [xxhash.xxh64_intdigest(m[i : i + BAND_ROWS].tobytes(), i) - 2**63 for i in range(0, K, BAND_ROWS)]
                 out.append(row)
             yield pa.RecordBatch.from_pylist(out, schema=ARROW)
@@ -93,30 +92,50 @@ def _estimated(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are as similar as asked for."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sides = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+def _digest(hashes: np.ndarray, seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes(), seed) - 2**63
+
+
+def _texts(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, c1, text): a text for each class; where rows share the class's doc_id, one of other texts too, told by c1."""
+    return reps.select("id", "doc", "c1").join(docs.select(F.col("doc_id").cast("long").alias("doc"), "text"), "doc").select("id", "c1", "text")
+
+
+def _confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, str]:
+    """The pairs(a, b) whose full sets are as similar as asked for, written, and their path.
+
+    The first of a bucket may stand in very many pairs, so its text is sent once per BLOCK pairs."""
+    degrees = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    degrees, path = cut(degrees, "degrees")
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    split = join_counted(pairs, degrees, ["a"], pairs.count()).select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
+    texts = _texts(reps, docs)
+    of_a = degrees.join(texts.select(F.col("id").alias("a"), F.col("c1").alias("ca"), F.col("text").alias("ta")), "a").select("a", "ca", "ta", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    sides = split.join(texts.select(F.col("id").alias("b"), F.col("c1").alias("cb"), F.col("text").alias("tb")), "b").join(of_a, ["a", "part"])
 
     def run(batches):
         hashes, recent = WordHashes(), OrderedDict()
 
-        def of(doc_id, text):
-            if (doc_id, len(text)) not in recent:
-                recent[doc_id, len(text)] = shingles(words(text), k, hashes)
+        def of(i, digest, text):
+            if (i, len(text)) not in recent:
+                s = shingles(words(text), k, hashes)
+                recent[i, len(text)] = s if _digest(s) == digest else None
                 if len(recent) > 64:
                     recent.popitem(last=False)
-            return recent[doc_id, len(text)]
+            return recent[i, len(text)]
 
         for batch in batches:
             keep = []
-            for a, b, ta, tb in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("ta"), batch.column("tb")):
-                x, y = of(a, ta.as_py()), of(b, tb.as_py())
-                both = 0 if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)) else len(np.intersect1d(x, y, assume_unique=True))
+            for a, b, ca, cb, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ca", "cb")), batch.column("ta"), batch.column("tb")):
+                x, y = of(a, ca, ta.as_py() or ""), of(b, cb, tb.as_py() or "")
+                far = x is None or y is None or 100 * min(len(x), len(y)) < percent * max(len(x), len(y))
+                both = 0 if far else len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return sides.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    done, done_path = cut(sides.select("a", "b", "ca", "cb", "ta", "tb").mapInArrow(run, "a long, b long"), "links")
+    drop(docs.sparkSession, path)
+    return done, done_path
 
 
 def _groups(batches, columns: list[str]):
@@ -160,14 +179,18 @@ def linked(sets: list[np.ndarray], candidates, percent: int):
 MEMBER = "key long, lo int, hi int, right boolean, id long, comp long, band int, first long, sig binary, bands array<long>"
 
 
-def _across(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) between rows(key, n, band, first, id, comp, sig, bands) of one bucket but different components.
+def _across(rows: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between rows(key, n, top, n_top, band, first, id, comp, sig, bands) of one bucket but other components.
 
-    A bucket of n members is cut into blocks; a task compares two blocks, so no task holds a large bucket. Only members
-    with a candidate are sent on with their texts, a row each; pairs are made and confirmed on the full sets within a
-    task, which gives a forest of links: fewer rows than members."""
-    blocks = rows.withColumn("nb", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("k", F.pmod(F.xxhash64("id"), "nb").cast("int"))
-    spread = blocks.select("*", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
+    Members of a bucket's largest component top are not compared with each other: they and the other members are cut into
+    blocks of their own, and a task compares a block of others with a block of either, so a bucket that hangs together but
+    for a few rows costs in proportion to its rows, and no task holds a large bucket. Only members with a candidate are sent
+    on with their texts, a row each; pairs are made and confirmed on the full sets within a task, which gives a forest of
+    links: fewer rows than members."""
+    blocks = rows.withColumn("others", F.ceil((F.col("n") - F.col("n_top")) / BLOCK).cast("int")).withColumn("main", F.col("comp") == F.col("top"))
+    blocks = blocks.withColumn("k", F.when(F.col("main"), F.col("others") + F.pmod(F.xxhash64("id"), F.ceil(F.col("n_top") / BLOCK)).cast("int")).otherwise(F.pmod(F.xxhash64("id"), "others").cast("int")))
+    last = F.col("others") + F.when(F.col("main"), 0).otherwise(F.ceil(F.col("n_top") / BLOCK)).cast("int") - 1
+    spread = blocks.select("*", F.explode(F.sequence(F.lit(0), last)).alias("j"))
     spread = spread.select("key", F.least("k", "j").alias("lo"), F.greatest("k", "j").alias("hi"), (F.col("k") > F.col("j")).alias("right"), "id", "comp", "band", "first", "sig", "bands")
     together = lambda df: df.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -186,17 +209,16 @@ def _across(rows: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
 
     def confirm(batches):
         hashes = WordHashes()
-        for group in _groups(batches, [*names, "text"]):
+        for group in _groups(batches, [*names, "text", "c1"]):
             sets = [shingles(words(g[10]), k, hashes) for g in group]
-            group = [g for g, s in zip(group, sets) if len(s)]
-            sets = [s for s in sets if len(s)]
+            sound = [len(s) > 0 and _digest(s) == g[11] for g, s in zip(group, sets)]
+            group, sets = ([x for x, ok in zip(xs, sound) if ok] for xs in (group, sets))
             if len(group) > 1:
                 links = forest((group[i][4], group[j][4]) for i, j in linked(sets, _candidates(group), percent))
                 yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in links], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
     picked = together(spread).mapInArrow(pick, MEMBER)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    return together(picked.join(texts, "id").select(*names, "text")).mapInArrow(confirm, "a long, b long")
+    return together(picked.join(_texts(reps, docs), "id").select(*names, "text", "c1")).mapInArrow(confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -204,30 +226,43 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
 
     Texts that are null, empty or without words have no shingles and are their own component. Rows with a null doc_id
     can't be linked: component_id is null and they are kept. Repeated rows share a component, and each is kept if its
-    doc_id is the component's. Other columns are ignored; an empty table gives no rows."""
+    doc_id is the component's; rows of one doc_id with different texts are compared each. Texts of any length are read
+    whole. Other columns are ignored, whatever their names; an empty table gives no rows."""
     spark = docs.sparkSession
     prof, prof_path = cut(profile(docs, k), "profile")
-    reps, reps_path = cut(
-        prof.where("n_shingles > 0 and doc_id is not null").groupBy("c1", "c2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")).dropDuplicates(["id"]), "reps"
-    )
+    linkable = prof.where("n_shingles > 0 and doc_id is not null")
+    classes = linkable.groupBy("c1", "c2").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    reps, reps_path = cut(classes.select(F.monotonically_increasing_id().alias("id"), "*"), "reps")  # a class by its set, whatever the ids of its rows
     banded = reps.select("id", F.posexplode("bands").alias("band", "hash")).select("id", "band", F.xxhash64("band", "hash").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    members, members_path = cut(banded.join(buckets, "key"), "members")
+    buckets, buckets_path = cut(banded.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    members, members_path = cut(join_counted(banded, buckets, ["key"], reps.count() * BANDS).select("id", "band", "key", "first", "n"), "members")
     sig = reps.select("id", "sig")
-    signed = lambda p: p.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    stars = members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    links, links_path = cut(_confirmed(_estimated(signed(stars)), docs, k, percent), "links")
+    stars, stars_path = cut(members.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    centres, centres_path = cut(stars.groupBy("a").agg(F.count("*").alias("n")).join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a"), "centres")
+    signed = join_counted(stars, centres, ["a"], stars.count()).join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+    near, near_path = cut(_estimated(signed), "near")
+    links, links_path = _confirmed(near, reps, docs, k, percent)
     comps, comp_paths = connected_components(links)
-    now = members.where("n > 2").join(comps, "id", "left").withColumn("comp", F.coalesce("component_id", "id"))
-    mixed = now.groupBy("key").agg(F.min("comp").alias("c_min"), F.max("comp").alias("c_max"), F.count("*").alias("n")).where("c_min < c_max").select("key", "n")
-    rows = now.select("key", "band", "first", "id", "comp").join(mixed, "key").join(reps.select("id", "sig", "bands"), "id")
-    more, more_path = cut(_across(rows, docs, k, percent), "links")
-    paths = [links_path, more_path, members_path]
+    drop(spark, buckets_path, stars_path, centres_path, near_path)
+    now = members.where("n > 2").drop("n").join(comps, "id", "left").withColumn("comp", F.coalesce("component_id", "id")).drop("component_id")
+    parts = now.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("n"), F.max("m").alias("n_top"), F.max_by("comp", F.struct("m", "comp")).alias("top"))
+    mixed, mixed_path = cut(parts.where("n > n_top"), "mixed")
+    rows = join_counted(now, mixed, ["key"], members.count()).join(reps.select("id", "sig", "bands"), "id")
+    more, more_path = cut(_across(rows, reps, docs, k, percent), "links")
+    paths = [links_path, more_path, members_path, mixed_path]
     if not more.isEmpty():
         joined = more.join(comps.select(F.col("id").alias("a"), F.col("component_id").alias("ca")), "a", "left").join(comps.select(F.col("id").alias("b"), F.col("component_id").alias("cb")), "b", "left")
         merged, merged_paths = connected_components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).unionAll(comps.select(F.col("id").alias("a"), F.col("component_id").alias("b"))))
         comps, paths, comp_paths = merged, paths + comp_paths, merged_paths
-    drop(spark, *paths)
-    classes = reps.join(comps, "id", "left").select("c1", "c2", F.coalesce("component_id", "id").alias("component_id"))
-    found = prof.join(classes, ["c1", "c2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    linked = reps.select("id", "doc").join(comps, "id")
+    least, least_path = cut(linked.groupBy("component_id").agg(F.min("doc").alias("least"), F.count("*").alias("n")), "least")
+    named = join_counted(linked, least, ["component_id"], linked.count()).select("id", "least")
+    known, known_path = cut(reps.select("id", "c1", "c2", "doc", "n").join(named, "id", "left").select("c1", "c2", "n", F.coalesce("least", "doc").alias("component_id")), "known")
+    total = prof.count()
+    found, _ = cut(
+        join_counted(linkable.select("doc_id", "n_shingles", "c1", "c2"), known, ["c1", "c2"], total).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+        .unionAll(prof.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", "doc_id", F.lit(True))),
+        "components",
+    )
+    drop(spark, *paths, *comp_paths, prof_path, reps_path, least_path, known_path)
+    return found

@@ -93,6 +93,14 @@ def test_minhash_links_within_a_bucket_of_unlinked_texts(spark):
     assert {r.doc_id: r.component_id for r in got} == components(sets, linked)
 
 
+def test_minhash_with_repeated_ids_of_other_texts(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, b = " ".join(words), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, "alone here")]
+    got = {(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)}
+
+
 def test_estimate_is_near_the_similarity():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 400, np.uint64)
