@@ -5,9 +5,11 @@ permuted order until the pass's share of the target is met; the one block in whi
 by document, first fit, and counts as a block of the quota. The quotas (blocks to take per source) are split down a
 binary tree over the output shards: at each node the left half's vector is a multivariate hypergeometric draw, seeded
 by the node, so every shard gets its exact number of blocks and a random, unbiased share of each source. A shard takes
-disjoint runs of each source's permuted blocks, and its documents are shuffled locally by a seeded hash.
+disjoint runs of each source's permuted blocks, and its documents are shuffled locally: their order in it is that of a
+seeded hash of the copy, which write_mix and shuffled sort by within a task of each shard.
 
-Everything follows from seeds and hashes of the rows, so reruns agree."""
+Words are counted once, into a table of sizes and hashes; texts are not moved before the last step. Everything follows
+from seeds and hashes of the rows, so reruns agree."""
 
 from __future__ import annotations
 
@@ -18,9 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from engram.llm.common import WORD
+from engram.llm.common import WORD, cut, drop
 
 BLOCK_ROWS, BLOCKS = 256, 1 << 16
+#: Words of an output shard, if the number of shards isn't given; there are LEAST_SHARDS at least.
+SHARD_WORDS, LEAST_SHARDS = 1 << 24, 16
+#: Rows of the plan (a block of a source each) up to which it is broadcast; beyond, rows are joined with it by shuffle.
+BROADCAST_BLOCKS = 1 << 20
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
@@ -45,16 +51,17 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (5, 2, 1),
 def split_quotas(quotas: list[int], shards: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """The runs [start, end) of each source's permuted blocks that a shard takes: the tree's path from root to leaf.
 
-    A node over shards [lo, hi) owns a run of every source; its left half takes the front of each run."""
+    A node over shards [lo, hi) owns a run of every source; its left half takes the front of each run. A quota is BLOCKS
+    at most, and sources fit on the driver, so totals stay below the 10**9 that an exact draw takes; more is an error."""
     start, quota, lo, hi = np.zeros(len(quotas), np.int64), np.array(quotas, np.int64), 0, shards
     while hi - lo > 1:
         mid, total = (lo + hi) // 2, int(quota.sum())
         want = total * (mid - lo) // (hi - lo)
         draw = np.random.default_rng([seed, lo, hi])
         left, rest, still = np.zeros_like(quota), total, want
-        for i, q in enumerate(quota):  # a chain of hypergeometric draws is the multivariate one; no limit on the totals
+        for i, q in enumerate(quota):  # a chain of hypergeometric draws is the multivariate one
             rest -= int(q)
-            left[i] = _hypergeometric(draw, int(q), rest, still)
+            left[i] = draw.hypergeometric(int(q), rest, still) if still else 0
             still -= int(left[i])
         if shard < mid:
             quota, hi = left, mid
@@ -63,36 +70,48 @@ def split_quotas(quotas: list[int], shards: int, shard: int, seed: int) -> tuple
     return start, start + quota
 
 
-def _hypergeometric(draw: np.random.Generator, good: int, bad: int, sample: int) -> int:
-    if good + bad < 1_000_000_000:
-        return int(draw.hypergeometric(good, bad, sample)) if sample else 0
-    mean = sample * good / (good + bad)
-    spread = (mean * bad / (good + bad) * (good + bad - sample) / (good + bad - 1)) ** 0.5
-    return int(min(good, sample, max(0, sample - bad, round(draw.normal(mean, spread)))))
-
-
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, most: int = 2, shards: int = 16, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Every row of docs(doc_id, text, source) with size (words), source_size, target, copies, taken, and shards: for each
-    copy, the output shard; keep names columns to carry along.
-
-    Null text has size 0; a null source is a source of its own. Repeated rows and null ids are rows like others. Documents
-    are taken whole, so a source's words are off its target by less than its smallest document that was left out of the
-    last block. Rows of size 0 are taken once. The driver holds one number per source, as the weights are given per source."""
+def first_fit(sizes: np.ndarray, room: int, again: bool) -> np.ndarray:
+    """Which of a block's rows, in their order, fill the room: those that fit, and one more that overshoots by less than
+    what is missing. Empty rows are taken in the first pass only."""
+    took = np.zeros(len(sizes), bool)
+    for i, n in enumerate(sizes):
+        if n <= room and (n or not again):
+            took[i] = True
+            room -= int(n)
+    best = np.where(~took & (sizes < 2 * room))[0]
+    if room and len(best):
+        took[best[np.argmin(sizes[best])]] = True
+    return took
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, most: int = 2, shards: int | None = None, seed: int = 17, keep: bool = False) -> DataFrame:
+    """Every row of docs(doc_id, text, source): doc_id, source, size (words), source_size, target (its source's), copies,
+    taken (words) and spots, for each copy its output shard and its place in the shuffled order; with keep also row, a
+    struct of all columns of docs.
+
+    Null text has size 0; a null source is a source of its own. Repeated rows and null ids are rows like others, and their
+    order among themselves is free. Documents are taken whole, so a source's words are off its target by less than its
+    smallest document that was left out of the last block. Rows of size 0 are taken once. Texts of any length are counted
+    whole; other columns keep out of the way, whatever their names; an empty table gives no rows. The driver holds one number
+    per source, as the weights are given per source."""
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", "source", size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), *keep)
-    totals = {r.source: (r.words, r.n) for r in rows.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()}
+    kept = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if keep else []
+    base = docs.select("doc_id", "source", size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), F.monotonically_increasing_id().alias("no"), *kept)
+    base, base_path = cut(base, "sizes")
+    totals = {r.source: (r.words, r.n) for r in base.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()}
     goal = targets({k: v[0] for k, v in totals.items()}, weights, budget, most)
+    shards = shards or max(LEAST_SHARDS, -(-int(sum(goal.values())) // SHARD_WORDS))
     table = spark.createDataFrame(
         [(k, int(w), float(goal[k]), int(min(BLOCKS, -(-n // BLOCK_ROWS)))) for k, (w, n) in totals.items()],
         T.StructType([T.StructField(n, t) for n, t in (("s", T.StringType()), ("source_size", T.LongType()), ("target", T.DoubleType()), ("blocks", T.LongType()))]),
     )
-    rows = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("s"))).withColumn("block", F.pmod("h", "blocks"))
-    rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-"))).drop("s")  # never null
+    rows = base.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("s"))).withColumn("block", F.pmod("h", "blocks"))
+    rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("-"))).drop("s", "blocks")  # never null
     words = rows.groupBy("key", "source_size", "target", "block").agg(F.sum("size").alias("words"))
     plans = []
     for p in range(most):
-        turn = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(seed + 1 + p), "block"), "block")
+        turn = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(seed + 1 + p), "block"), "block")  # a source's blocks, BLOCKS at most
         share = F.least(F.greatest(F.floor("target") - p * F.col("source_size"), F.lit(0)), F.col("source_size"))
         plan = words.withColumn("after", F.sum("words").over(turn)).withColumn("place", F.row_number().over(turn) - 1).withColumn("share", share)
         room = F.col("share") - F.col("after") + F.col("words")
@@ -100,40 +119,40 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1
     plan = plans[0]
     for x in plans[1:]:
         plan = plan.unionAll(x)
+    plan, plan_path = cut(plan, "plan")
     shard_of = _shard_of(spark, plan, shards, seed)
     plan = plan.join(shard_of, ["key", "pass", "place"], "left") if shard_of is not None else plan.withColumn("shard", F.lit(0))
     # a row per block with what each pass takes of it; -1 is all, else so many words
     by_block = plan.groupBy("key", "block").agg(
         *(F.max(F.when(F.col("pass") == p, F.col("room"))).alias(f"room{p}") for p in range(most)), *(F.max(F.when(F.col("pass") == p, F.col("shard"))).alias(f"shard{p}") for p in range(most))
     )
-    joined = rows.join(by_block, ["key", "block"], "left")
+    by_block, block_path = cut(by_block, "blocks")
+    small = F.broadcast if by_block.count() <= BROADCAST_BLOCKS else (lambda df: df)
+    joined = rows.join(small(by_block), ["key", "block"], "left")
     partial = " or ".join(f"coalesce(room{p}, -1) > 0" for p in range(most))
     takes = [f"take{p}" for p in range(most)]
     whole = joined.where(f"not ({partial})").select("*", *((F.coalesce(F.col(f"room{p}") == -1, F.lit(False)) & ((F.col("size") > 0) | F.lit(p == 0))).alias(takes[p]) for p in range(most)))
-    schema = whole.schema
+    filled_schema = T.StructType([T.StructField("no", T.LongType()), *(T.StructField(t, T.BooleanType()) for t in takes)])
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h", "size"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["h", "size", "no"], kind="stable").reset_index(drop=True)
         for p in range(most):
             room, size = pdf[f"room{p}"].iloc[0], pdf["size"].to_numpy()
             if pd.isna(room) or room == -1:
                 pdf[takes[p]] = (not pd.isna(room)) & ((size > 0) | (p == 0))
-                continue
-            took, room = np.zeros(len(size), bool), int(room)
-            for i, n in enumerate(size):
-                if n <= room and (n or not p):
-                    took[i] = True
-                    room -= int(n)
-            best = np.where(~took & (size < 2 * room))[0]  # one more that overshoots by less than what is missing
-            if room and len(best):
-                took[best[np.argmin(size[best])]] = True
-            pdf[takes[p]] = took
-        return pdf[schema.names]
-
-    filled = joined.where(partial).groupBy("key", "block").applyInPandas(fill, schema)
+            else:
+                pdf[takes[p]] = first_fit(size, int(room), p > 0)
+        return pdf[filled_schema.names]
+
+    # sizes and hashes of a few blocks of each source go to tasks, texts don't
+    filled = joined.where(partial).select("key", "block", "no", "h", "size", *(f"room{p}" for p in range(most))).groupBy("key", "block").applyInPandas(fill, filled_schema)
+    filled, filled_path = cut(filled, "filled")
+    taken = whole.unionByName(joined.where(partial).join(filled, "no"))
     copies = sum((F.col(t).cast("int") for t in takes[1:]), F.col(takes[0]).cast("int"))
-    where = F.array_compact(F.array(*(F.when(F.col(takes[p]), F.coalesce(F.col(f"shard{p}"), F.lit(0))) for p in range(most))))
-    return whole.unionAll(filled).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), where.alias("shards"), "h", *keep)
+    spot = lambda p: F.struct(F.coalesce(F.col(f"shard{p}"), F.lit(0)).cast("int").alias("shard"), F.xxhash64(F.lit(seed + 99 + p), "h").alias("place"))
+    spots = F.array_compact(F.array(*(F.when(F.col(takes[p]), spot(p)) for p in range(most))))
+    drop(spark, plan_path)
+    return taken.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), spots.alias("spots"), *(["row"] if keep else []))
 
 
 def _shard_of(spark, plan: DataFrame, shards: int, seed: int) -> DataFrame | None:
@@ -154,8 +173,12 @@ def _shard_of(spark, plan: DataFrame, shards: int, seed: int) -> DataFrame | Non
     return pieces.select("key", "pass", "shard", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("place"))
 
 
-def write_mix(mixed: DataFrame, path: str, shards: int, seed: int = 17) -> None:
-    """The mix as files, one folder per shard: a row per copy, in a locally shuffled order."""
-    copies = mixed.select("*", F.posexplode("shards").alias("copy", "shard")).drop("shards")
-    order = F.xxhash64(F.lit(seed + 99), "h", "copy")
-    copies.repartition(shards, "shard").sortWithinPartitions("shard", order).write.partitionBy("shard").parquet(path)
+def shuffled(mixed: DataFrame) -> DataFrame:
+    """A row per copy of mix(keep=True): shard and row; a task has whole shards, each in its shuffled order."""
+    copies = mixed.select("row", F.explode("spots").alias("spot")).select("spot.shard", "spot.place", "row")
+    return copies.repartition("shard").sortWithinPartitions("shard", "place").select("shard", "row")
+
+
+def write_mix(mixed: DataFrame, path: str) -> None:
+    """The mix as files, one folder per shard (mix_shard=n): the rows of its copies, in the shuffled order."""
+    shuffled(mixed).select(F.col("shard").alias("mix_shard"), "row.*").write.partitionBy("mix_shard").parquet(path)

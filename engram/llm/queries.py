@@ -25,7 +25,9 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from engram.llm.mixing import mix
 
-    return mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "shards")
+    mixed = mix(read_table(spark, sf_dir, "documents"))
+    spots = [F.transform("spots", lambda x, c=c: x[c]).alias(f"{c}s") for c in ("shard", "place")]
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", *spots)
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

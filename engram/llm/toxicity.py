@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from engram.llm.common import WordHashes, mixed
 
@@ -83,11 +84,13 @@ def scores(texts: list[str | None], dense: np.ndarray, hashes: WordHashes) -> np
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """The model from docs(doc_id, text) and labels(doc_id, toxic), of rows whose crc32(doc_id as text) mod 4 is not 2.
 
-    Rows without label or id are not learned from; repeated labels of an id count once, as toxic if any is. Without
-    labelled rows the model is empty and every score is 0.5."""
+    Rows without label or id are not learned from; repeated labels of an id count once, as toxic if any is, and of an id
+    with several texts the least by hash is read. Without labelled rows the model is empty and every score is 0.5."""
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    rows = chosen.join(docs.select("doc_id", "text"), "doc_id").dropDuplicates(["doc_id"]).select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "toxic").limit(most_rows)
+    known_texts = chosen.join(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
+    rows = known_texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first"))
+    rows = rows.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.col("first.text").alias("text"), "toxic").limit(most_rows)
 
     def learn(batches):
         got = [(h, i, t, y) for b in batches for h, i, t, y in zip(*(b.column(c).to_pylist() for c in ("h", "doc_id", "text", "toxic")))]
@@ -111,22 +114,29 @@ def _dense(packed: bytes) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns of docs and score, of every whole text; null and empty texts get the bias alone."""
+def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], columns: list[str]) -> DataFrame:
+    """row, a struct of the columns, and score of every row of docs(text): texts are read whole; null and empty ones get the
+    bias alone. Columns may have any names; an empty table gives no rows."""
     at, w = model
     sent = docs.sparkSession.sparkContext.broadcast(at.tobytes() + w.tobytes())  # 12 MB at most
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + ", score double"
-    names = [*keep]
+    inner = [F.col(f"`{c}`") for c in columns]
+    rows = docs.select(F.struct(*inner).alias("row"), *([] if "text" in columns else [F.col("text").alias("text")]))
+    schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
 
     def run(batches):
         hashes, dense = WordHashes(), _dense(sent.value)
         for b in batches:
-            got = scores(b.column("_text").to_pylist(), dense, hashes)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(got, pa.float64())], names=[*names, "score"])
+            row = b.column("row")
+            texts = row.field("text") if "text" in columns else b.column("text")
+            yield pa.RecordBatch.from_arrays([row, pa.array(scores(texts.to_pylist(), dense, hashes), pa.float64())], names=["row", "score"])
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row of docs(doc_id, text)."""
-    return score(docs, train(docs, labels)).select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    """doc_id, held_out, score, predicted of every row of docs(doc_id, text).
+
+    Null ids are scored and not held out; repeated rows are scored each; other columns are ignored, whatever their names;
+    an empty table gives no rows."""
+    got = scored(docs, train(docs, labels), ["doc_id"]).select("row.doc_id", "score")
+    return got.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

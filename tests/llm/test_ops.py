@@ -13,7 +13,7 @@ from engram.llm import minhash, sharding, sstable, substrings, toxicity, warc
 from engram.llm.decontaminate import leaks
 from engram.llm.embeddings import linked_vectors
 from engram.llm.linededup import dedup_lines
-from engram.llm.mixing import mix, split_quotas, targets
+from engram.llm.mixing import mix, split_quotas, targets, write_mix
 from engram.llm.queries import QUERIES, vocabulary_path
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, h long, size long, unit int, key string"
@@ -167,14 +167,72 @@ def test_minimax_is_smallest():
 def test_mix(docs, empty):
     rows = mix(docs, shards=4).collect()
     assert len(rows) == docs.count()
-    assert sorted(map(str, rows)) == sorted(map(str, mix(docs, shards=4).collect()))
+    assert sorted(map(str, rows)) == sorted(map(str, mix(docs.repartition(7), shards=4).collect()))
     for s in {r.source for r in rows}:
         own = [r for r in rows if r.source == s]
         assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own) / 2 + 1
-    assert all(r.taken <= 2 * r.size and r.copies == len(r.shards) for r in rows)
+    assert all(r.taken <= 2 * r.size and r.copies == len(r.spots) for r in rows)
     assert mix(empty).count() == 0
 
 
+def brute_mix(rows, goal, n_blocks):
+    """The documents of one source that a mix takes, by plain loops over (h, size, block)."""
+    total, taken = sum(r[1] for r in rows), [0] * len(rows)
+    for p in range(2):
+        share = min(max(int(goal) - p * total, 0), total)
+        left = share
+        for b in sorted(n_blocks, key=lambda b: (n_blocks[b][p], b)):
+            own = sorted((h, size, k) for k, (h, size, block) in enumerate(rows) if block == b)
+            if sum(x[1] for x in own) <= left:
+                took = [size > 0 or p == 0 for _, size, _ in own]
+            elif left > 0:
+                room, took = left, []
+                for _, size, _ in own:
+                    took.append(size <= room and (size > 0 or p == 0))
+                    room -= size * took[-1]
+                if room:
+                    rest = [(size, i) for i, (_, size, _) in enumerate(own) if not took[i] and size < 2 * room]
+                    if rest:
+                        took[min(rest)[1]] = True
+            else:
+                break
+            left -= sum(x[1] for x in own)
+            for (_, _, k), yes in zip(own, took):
+                taken[k] += yes
+    return taken
+
+
+def test_mix_matches_plain_loops(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(["w"] * rng.choice([0, 1, 3, 9, 40])), rng.choice(["a", "a", "a", "b", None])) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    hashed = {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64(F.lit(17), "doc_id", "text").alias("h")).collect()}
+    size = {i: len(t.split()) for i, t, _ in rows}
+    sizes = {}
+    for i, _, s in rows:
+        sizes[s] = sizes.get(s, 0) + size[i]
+    goal = targets(sizes)
+    got = {r.doc_id: r for r in mix(docs, shards=5).collect()}
+    for s in sizes:
+        own = [i for i, _, x in rows if x == s]
+        n = -(-len(own) // 256)
+        turn = {r.b: (r.t0, r.t1) for r in spark.range(n).select(F.col("id").alias("b"), F.xxhash64(F.lit(18), "id").alias("t0"), F.xxhash64(F.lit(19), "id").alias("t1")).collect()}
+        assert [got[i].copies for i in own] == brute_mix([(hashed[i], size[i], hashed[i] % n) for i in own], goal[s], turn)
+        assert {got[i].target for i in own} == {goal[s]} and {got[i].source_size for i in own} == {sizes[s]}
+    used = [s.shard for r in got.values() for s in r.spots]
+    assert set(used) == set(range(5))
+
+
+def test_written_mix_is_shuffled_within_shards(spark, docs, tmp_path):
+    mixed = mix(docs.withColumn("shard", F.lit("own")), shards=3, keep=True)
+    write_mix(mixed, f"{tmp_path}/m")
+    back = spark.read.parquet(f"{tmp_path}/m")
+    want = [(s.shard, s.place, r.doc_id) for r in mixed.collect() for s in r.spots]
+    assert sorted((r.mix_shard, str(r.doc_id)) for r in back.collect()) == sorted((s, str(i)) for s, _, i in want) and {r.shard for r in back.collect()} == {"own"}
+    for s in range(3):
+        assert [r.doc_id for r in spark.read.parquet(f"{tmp_path}/m/mix_shard={s}").coalesce(1).collect()] == [i for _, _, i in sorted((w for w in want if w[0] == s), key=lambda w: w[1])]
+
+
 def test_targets_and_quotas():
     assert targets({"a": 100, "b": 100, None: 100}) == {"a": 200.0, "b": pytest.approx(500 / 3), None: pytest.approx(250 / 3)}
     runs = [split_quotas([10, 3, 27], 7, k, 1) for k in range(7)]

@@ -82,3 +82,39 @@ def test_token_stage_encodes_every_row(tables):
 
 def test_run_gives_the_rows_of_the_stages(spark, tables):
     assert sorted(map(tuple, pipeline.run(spark, DATA).collect())) == sorted(map(tuple, tables[5][1]))
+
+
+CLASHES = "score _text target size key block h copies shards row n spot shard place source_size taken component_id kept th t p".split()
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and very long texts, repeated rows, one id with two texts, and columns with the operators' own names."""
+    items = [r.text for r in read_table(spark, DATA, "benchmark").limit(2).collect()]
+    texts = [(1, "a first text of its own"), (1, "quite another text under the same id"), (1, "a first text of its own"), (2, "a first text of its own"), (3, None), (4, ""), (None, "no id here"), (None, None)]
+    texts += [(5, "word " * 200_000), (6, f"so {items[0]} and more"), (7, " \n ")]
+    rows = [(i, t, "en", "s" if k % 3 else None, 0, *(f"{c}{k}" for c in CLASHES)) for k, (i, t) in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES))
+
+
+@pytest.mark.parametrize(("name", "stage"), pipeline.STAGES[:-1])
+def test_stages_carry_odd_rows_and_any_column(spark, odd, name, stage):
+    before, done = odd.collect(), stage(spark, odd, DATA)
+    after = done.collect()
+    assert done.columns == odd.columns and {tuple(r) for r in after} <= {tuple(r) for r in before}
+    ids = sorted((str(r.doc_id), str(r.text)[:12]) for r in after)
+    if name == "near_duplicates":
+        whole = [(str(r.doc_id), str(r.text)[:12]) for r in before]
+        whole.remove(("1", "a first text"))
+        whole.remove(("2", "a first text"))
+        assert ids == sorted(whole)
+    if name == "decontamination":
+        assert ids == sorted((str(r.doc_id), str(r.text)[:12]) for r in before if r.doc_id != 6)
+    empty = stage(spark, odd.limit(0), DATA)
+    assert empty.columns == odd.columns and empty.count() == 0
+
+
+def test_token_stage_takes_odd_rows(spark, odd):
+    got = pipeline.token_stage(spark, odd, DATA).collect()
+    assert len(got) == odd.count() and sorted(r.n_tokens for r in got)[:3] == [1, 1, 1]
+    assert pipeline.token_stage(spark, odd.limit(0), DATA).count() == 0
