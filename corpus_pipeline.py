@@ -8,42 +8,48 @@ from pyspark.sql import functions as F
 from engram.llm.common import cut, drop, read_table
 from engram.llm.decontaminate import leaks
 from engram.llm.minhash import near_duplicates
-from engram.llm.mixing import mix
+from engram.llm.mixing import mix, shuffled
 from engram.llm.queries import vocabulary_path
 from engram.llm.sstable import encode_and_store
-from engram.llm.toxicity import score, train
+from engram.llm.toxicity import scored, train
 
 THRESHOLD = 0.3
 
+# Every stage but the last returns the columns of its input, whatever their names, as it carries rows in one struct. Null
+# and empty texts pass the filtering stages, repeated rows are rows of their own where nothing else is said, texts are
+# read whole, and an empty table stays one.
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold; texts are scored whole."""
+    """Documents that score below the threshold; null and empty texts get the model's bias."""
     model = train(docs, read_table(spark, sf_dir, "labels"))
-    return score(docs, model, tuple(docs.columns)).where(F.col("score") < THRESHOLD).drop("score")
+    return scored(docs, model, docs.columns).where(F.col("score") < THRESHOLD).select("row.*")
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id. Repeated rows of an id stay one."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    rows = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    """One document of each group of near-duplicates: the one with the smallest doc_id. Rows that repeat its id and text
+    stay one, rows of its id with another text stay; rows without an id stay all."""
+    kept = near_duplicates(docs).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    rows = docs.select("doc_id", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    known = rows.join(kept, "doc_id")
+    again = known.where("n > 1").withColumn("h", F.xxhash64("row.text")).withColumn("h2", F.xxhash64(F.lit(7), "row.text")).dropDuplicates(["doc_id", "h", "h2"])
+    return known.where("n = 1").select("row").unionAll(again.select("row")).unionAll(rows.where("doc_id is null").select("row")).select("row.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which no benchmark item leaked."""
+    """Documents into which no benchmark item leaked. Rows without an id are not looked at and stay."""
     hit = leaks(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(hit, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per copy that the mix takes of a document: up to two, none of those beyond their source's target."""
-    other = [c for c in docs.columns if c not in ("doc_id", "source")]
-    mixed = mix(docs, keep=tuple(f"{c}" for c in other if c != "size" and c != "h"))
-    return mixed.select("*", F.explode("shards").alias("shard_of_copy")).select(*docs.columns)
+    """A row per copy that the mix takes of a document, shard by shard in shuffled order: up to two, none of those beyond
+    their source's target. Rows without words are taken once."""
+    return shuffled(mix(docs, keep=True)).select("row.*")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token shards of all rows, read back."""
+    """Token shards of all rows, read back: null texts are empty, copies and null ids have entries of their own."""
     return encode_and_store(docs.select("doc_id", "text"), vocabulary_path())
 
 
