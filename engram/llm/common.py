@@ -67,7 +67,7 @@ def drop(spark: SparkSession, *paths: str) -> None:
         fs.delete(at, True)
 
 
-#: A key with more than this share of the rows is frequent; there are fewer than 1 / SHARE such keys, so they are broadcast.
+#: A key with more than this share of the rows is frequent; there are fewer than 1 / SHARE such keys.
 SHARE = 0.001
 
 
@@ -75,11 +75,13 @@ def join_counted(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int)
     """rows joined with keyed(*keys, n, ...), whose n counts the rows of a key among all total.
 
     Rows of frequent keys meet them by broadcast and are never shuffled by their key; the others are, and no key of theirs
-    has more than SHARE of the rows."""
-    often = F.col("n") > max(total, 1) * SHARE
-    hot = F.broadcast(keyed.where(often))
-    rest = rows.join(F.broadcast(keyed.where(often).select(*keys)), keys, "left_anti")
-    return rows.join(hot, keys).unionByName(rest.join(keyed.where(~often), keys))
+    has more than SHARE of the rows. The driver holds the hashes of the frequent keys, fewer than 1 / SHARE."""
+    mark = F.xxhash64(*keys)
+    often = [r.m for r in keyed.where(F.col("n") > max(total, 1) * SHARE).select(mark.alias("m")).limit(int(1 / SHARE)).collect()]
+    if not often:
+        return rows.join(keyed, keys)
+    hot = rows.where(mark.isin(often)).join(F.broadcast(keyed.where(mark.isin(often))), keys)
+    return hot.unionByName(rows.where(~mark.isin(often)).join(keyed.where(~mark.isin(often)), keys))
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
