@@ -42,7 +42,8 @@ def col(c: C) -> Column:
 
 
 def clamp(c: C, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), col(c)))
+    """Null stays null."""
+    return F.when(col(c).isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), col(c))))
 
 
 def is_live(expires_at: C, as_of: Column, active: C | None = None) -> Column:
@@ -147,9 +148,13 @@ def entity_name(name: C) -> Column:
 
 
 def subtask_list(value: C) -> Column:
-    numbered = col(value).rlike(r"\d+\.\s")
-    parts = F.when(numbered, F.split(col(value), r"\d+\.\s*")).otherwise(F.split(col(value), "\n"))
-    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+    """Items of a numbered text (without the full stop at their ends), else its lines, else the text as the only item."""
+    text = F.trim(col(value))
+    filled = lambda parts: F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
+    numbered = F.transform(filled(F.split(text, r"\d+\.\s*")), lambda x: F.regexp_replace(x, r"\.+$", ""))
+    lines = filled(F.split(text, "\n"))
+    one = F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array(text))
+    return F.when(F.size(numbered) > 1, numbered).when(F.size(lines) > 1, lines).otherwise(one)
 
 
 def token_estimate(text: C) -> Column:
@@ -157,8 +162,8 @@ def token_estimate(text: C) -> Column:
 
 
 def schema_type(description: C) -> Column:
-    word = F.lower(F.get(F.split(F.trim(col(description)), r"[^A-Za-z]+", 2), 0))
-    return F.when(word.isin("int", "integer"), "integer").when(word.isin("float", "number"), "number").when(word.isin("bool", "boolean"), "boolean").when(word.isin("list", "array"), "array").when(word.isin("dict", "object"), "object").otherwise("string")
+    c = F.coalesce(col(description), F.lit(""))
+    return F.when(c.startswith("bool"), "boolean").when(c.startswith("int"), "integer").when(c.startswith("float"), "number").otherwise("string")
 
 
 def repaired_json(text: C) -> Column:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from engram.functions.exprs import RELATIONS, SYMMETRIC, clamp, graph_prior, jaccard, keywords
 from engram.operators.tables import topk_per_key
+from engram.sources.store import settled
 
 
 def keyword_index(nodes: DataFrame) -> DataFrame:
@@ -19,24 +20,49 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.posexplode(keywords("text")).alias("pos", "token"))
 
 
+def _asked(tokens: DataFrame, name: str) -> DataFrame:
+    return tokens.select(F.col("token").alias(name)).distinct()
+
+
 def by_keyword(tokens: DataFrame, nodes: DataFrame, index: DataFrame, k: int = 20) -> DataFrame:
-    hits = tokens.join(index, tokens.token == index.keyword).join(nodes.select(F.col("id").alias("node_id"), "importance", "name"), "node_id")
-    best = topk_per_key(hits, ["query_id", "token"], [F.desc("importance"), F.col("name"), F.col("node_id")], k)
-    return best.select("query_id", "pos", "node_id", "importance", "name")
+    """The k best nodes of each token's keyword; a keyword's nodes are cut to k before questions meet them."""
+    wanted = index.join(_asked(tokens, "keyword"), "keyword", "left_semi").join(nodes.select(F.col("id").alias("node_id"), "importance", "name"), "node_id")
+    best = topk_per_key(wanted, ["keyword"], [F.desc("importance"), F.col("name"), F.col("node_id")], k)
+    return tokens.join(best.withColumnRenamed("keyword", "token"), "token").select("query_id", "pos", "token", "node_id", "importance", "name")
 
 
 def by_alias(tokens: DataFrame, nodes: DataFrame, aliases: DataFrame) -> DataFrame:
-    hits = tokens.join(aliases, F.lower("token") == F.col("alias")).join(nodes.select(F.col("id").alias("node_id"), "importance"), "node_id")
-    return topk_per_key(hits, ["query_id", "token"], [F.desc("importance"), F.col("node_id")], 1).select("query_id", "pos", "node_id")
+    """The most important node of each token that is an alias."""
+    wanted = aliases.join(_asked(tokens, "alias"), "alias", "left_semi").join(nodes.select(F.col("id").alias("node_id"), "importance"), "node_id")
+    best = topk_per_key(wanted, ["alias"], [F.desc("importance"), F.col("node_id")], 1)
+    return tokens.join(best.withColumnRenamed("alias", "token"), "token").select("query_id", "pos", "node_id")
 
 
 def by_prefix(tokens: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
-    """Nodes whose name starts with a token of three characters at least, by a join on the first three."""
+    """The k most important nodes whose name starts with a token of three characters at least, by a join on the first three;
+    exact says that the name is the token. Each token is looked up once, whatever the number of questions."""
     named = nodes.select(F.col("id").alias("node_id"), "name", "importance", F.lower("name").alias("low")).withColumn("head", F.substring("low", 1, 3))
-    asked = tokens.where(F.length("token") >= 3).withColumn("head", F.substring("token", 1, 3))
+    asked = _asked(tokens, "token").where(F.length("token") >= 3).withColumn("head", F.substring("token", 1, 3))
     hits = asked.join(named, "head").where(F.col("low").startswith(F.col("token")))
-    best = topk_per_key(hits, ["query_id", "token"], [F.desc("importance"), F.col("name"), F.col("node_id")], k)
-    return best.select("query_id", "pos", "node_id", (F.col("low") == F.col("token")).alias("exact"))
+    best = topk_per_key(hits, ["token"], [F.desc("importance"), F.col("name"), F.col("node_id")], k)
+    return tokens.join(best, "token").select("query_id", "pos", "node_id", "importance", "name", (F.col("low") == F.col("token")).alias("exact"))
+
+
+def candidates(queries: DataFrame, nodes: DataFrame, aliases: DataFrame, semantic: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Tier 1 (query_id, node_id): names and aliases that are a token. And hits(query_id, method, place, node_id) of the other
+    lists without tier 1: prefixes once each, keywords, and semantic(query_id, place, node_id)."""
+    tokens = query_tokens(queries)
+    named = by_prefix(tokens, nodes)
+    tier1 = named.where("exact").select("query_id", "node_id").unionByName(by_alias(tokens, nodes, aliases).select("query_id", "node_id")).distinct()
+    tier1 = settled(tier1, "tier1")  # a row per token at most
+    first = named.where("not exact").groupBy("query_id", "node_id").agg(F.min(F.struct("pos", (-F.col("importance")).alias("i"), "name", "node_id")).alias("at"))
+    lists = [first.select("query_id", "node_id", F.lit("prefix").alias("method"), "at"), by_keyword(tokens, nodes, keyword_index(nodes)).select("query_id", "node_id", F.lit("keyword").alias("method"), F.struct("pos", (-F.col("importance")).alias("i"), "name", "node_id").alias("at"))]
+    w = Window.partitionBy("query_id", "method").orderBy("at")
+    hits = lists[0].unionByName(lists[1]).join(tier1, ["query_id", "node_id"], "left_anti").select("query_id", "method", F.row_number().over(w).alias("place"), "node_id")
+    if semantic is not None:
+        near = semantic.join(tier1, ["query_id", "node_id"], "left_anti")
+        hits = hits.unionByName(near.select("query_id", F.lit("semantic").alias("method"), F.row_number().over(Window.partitionBy("query_id").orderBy("place")).alias("place"), "node_id"))
+    return tier1, hits
 
 
 def rrf(hits: DataFrame, damping: int = 60) -> DataFrame:
@@ -65,12 +91,13 @@ def seeds(tier1: DataFrame, ranked: DataFrame, nodes: DataFrame, top_n: int = 5,
 
 
 def capped_neighbours(frontier: DataFrame, edges: DataFrame, cap: int = 5) -> DataFrame:
-    """Active edges of frontier(query_id, node_id): the cap strongest out and the cap strongest in of each node."""
+    """Active edges of frontier(query_id, node_id): the cap strongest out and the cap strongest in of each node. Only edges
+    that touch the frontier are ranked."""
     by = [F.desc("weight"), F.desc("confidence"), F.col("id")]
-    live = edges.where("active")
-    out = topk_per_key(live, ["source_id"], by, cap).withColumn("node_id", F.col("source_id")).withColumn("other", F.col("target_id"))
-    back = topk_per_key(live, ["target_id"], by, cap).withColumn("node_id", F.col("target_id")).withColumn("other", F.col("source_id"))
-    return frontier.join(out.unionByName(back), "node_id").select("query_id", "node_id", "other", "id", "source_id", "target_id", "relation", "weight")
+    live, ids = edges.where("active"), frontier.select("node_id").distinct()
+    side = lambda own, far: topk_per_key(live.join(ids.select(F.col("node_id").alias(own)), own, "left_semi"), [own], by, cap).withColumn("node_id", F.col(own)).withColumn("other", F.col(far))
+    both = side("source_id", "target_id").unionByName(side("target_id", "source_id"))
+    return frontier.join(both, "node_id").select("query_id", "node_id", "other", "id", "source_id", "target_id", "relation", "weight", "confidence")
 
 
 def bfs(start: DataFrame, edges: DataFrame, hops: int = 1, cap: int = 5, max_nodes: int | None = None) -> DataFrame:
@@ -92,17 +119,54 @@ def labelled_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(s, "source_id", "left").join(t, "target_id", "left").select("id", label("sn", "source_id").alias("source"), "relation", label("tn", "target_id").alias("target"), "weight")
 
 
-def subgraph_text(edges: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
-    line = F.format_string("%s -[%s]-> %s (weight: %.2f)", "source", "relation", "target", "weight")
-    shown = labelled_edges(edges, nodes).join(edges.select("id", *keys), "id")
-    rows = shown.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-F.col("weight")).alias("w"), "id", line.alias("line")))).alias("rows"))
-    return rows.select(*keys, F.concat(F.lit("Active edges:\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("text"))
+def subgraph(start: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int = 1, cap: int = 5, max_nodes: int = 15) -> tuple[DataFrame, DataFrame]:
+    """Nodes (query_id, node_id, hop) around start(query_id, node_id), and the edges (query_id, id, ...) that those within the
+    last hop have, each once. Of the nodes the nearest max_nodes have edges shown."""
+    reached = bfs(start, edges, hops, cap)
+    known = settled(reached.join(nodes.select(F.col("id").alias("node_id")), "node_id", "left_semi"), "reached")
+    expanded = topk_per_key(known, ["query_id"], [F.col("hop"), F.col("node_id")], max_nodes)
+    return known, capped_neighbours(expanded.select("query_id", "node_id"), edges, cap).drop("node_id", "other").distinct()
+
+
+def subgraph_text(start: DataFrame, nodes: DataFrame, found: DataFrame, edges: DataFrame) -> DataFrame:
+    """(query_id, text): the seeds of start(query_id, node_id[, is_new]), then the edges, the strongest first; an end that is
+    no node found(query_id, node_id) shows its id."""
+    label = nodes.select(F.col("id").alias("node_id"), "name", "type", "confidence")
+    flag = F.when(F.col("is_new"), " [NEW]").otherwise("") if "is_new" in start.columns else F.lit("")
+    seed = start.join(label, "node_id").select("query_id", "node_id", F.concat(F.format_string("  %s (%s) type=%s conf=%.2f", "name", "node_id", "type", "confidence"), flag).alias("line"))
+    seed = seed.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "line"))).alias("seeds"))
+    names = found.select("query_id", "node_id").join(label.select("node_id", "name"), "node_id")
+    shown = edges
+    for end in ("source", "target"):
+        shown = shown.join(names.select("query_id", F.col("node_id").alias(f"{end}_id"), F.concat("name", F.lit(" ("), "node_id", F.lit(")")).alias(end)), ["query_id", f"{end}_id"], "left")
+    line = F.format_string("  [%s]  %s --%s--> %s  conf=%.2f", "id", F.coalesce("source", "source_id"), "relation", F.coalesce("target", "target_id"), "confidence")
+    rows = shown.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "id", line.alias("line")))).alias("edges"))
+    lines = lambda c: F.array_join(F.transform(c, lambda r: r["line"]), "\n")
+    tail = F.when(F.col("edges").isNotNull(), F.concat(F.lit("\n\nActive edges:\n"), lines("edges"))).otherwise(F.lit(""))
+    return seed.join(rows, "query_id", "left").select("query_id", F.concat(F.lit("Seed nodes (resolved this batch):\n"), lines("seeds"), tail).alias("text"))
+
+
+NO_MATCH = "No relevant knowledge graph entries were found for this query."
+
+
+def answer(queries: DataFrame, seeds_: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(query_id, text): the neighbourhood of each question's seeds, or a fixed text."""
+    start = settled(seeds_.select("query_id", "node_id"), "seeds")
+    found, around = subgraph(start, nodes, edges)
+    texts = subgraph_text(start, nodes, found, around)
+    return queries.select("query_id").join(texts, "query_id", "left").select("query_id", F.coalesce("text", F.lit(NO_MATCH)).alias("text"))
+
+
+def node_id_of(name: Column) -> Column:
+    """The id of a node made for a name, the same in every run."""
+    return F.concat(F.lit("n_"), F.md5(name))
 
 
 def resolve_entities(entities: DataFrame, nodes: DataFrame, aliases: DataFrame, least: float = 0.5, merge: float = 0.85, candidates: int = 10) -> DataFrame:
     """entities(entity_id, name, heading, aliases, confidence) -> (entity_id, method, node_id, match_confidence).
 
-    Stages in turn, each on what the one before left: skipped, exact_name, alias_self, alias_list, keyword, created."""
+    Stages in turn, each on what the one before left: skipped, exact_name, alias_self, alias_list, keyword, created. A
+    keyword's nodes are cut to the most important before entities meet them."""
     done = entities.where(F.col("confidence") < least).select("entity_id", F.lit("skipped").alias("method"), F.lit(None).cast("string").alias("node_id"), F.lit(0.0).alias("match_confidence"))
     left = entities.where(F.col("confidence") >= least)
     ranked = nodes.select(F.col("id").cast("string").alias("node_id"), "name", "heading", "importance")
@@ -116,16 +180,22 @@ def resolve_entities(entities: DataFrame, nodes: DataFrame, aliases: DataFrame,
     listed = left.select("entity_id", F.posexplode("aliases").alias("pos", "a")).join(alias_of, F.lower(F.trim("a")) == F.col("alias"))
     listed = topk_per_key(listed, ["entity_id"], [F.col("pos"), F.desc("importance"), F.col("node_id")], 1).select("entity_id", F.lit("alias_list").alias("method"), "node_id", F.lit(1.0).alias("match_confidence"))
     left = left.join(listed, "entity_id", "left_anti")
-    words = left.select("entity_id", keywords("name", "heading").alias("ek"))
-    node_words = ranked.select("node_id", "importance", keywords("name", "heading").alias("nk"))
-    pool = words.select("entity_id", "ek", F.explode("ek").alias("w")).join(node_words.select("node_id", "importance", "nk", F.explode("nk").alias("w")), "w")
-    pool = topk_per_key(pool, ["entity_id", "w"], [F.desc("importance"), F.col("node_id")], candidates)
+    words = left.select("entity_id", keywords("name", "heading").alias("ek")).select("entity_id", "ek", F.explode("ek").alias("w"))
+    node_words = ranked.select("node_id", "importance", keywords("name", "heading").alias("nk")).select("node_id", "importance", "nk", F.explode("nk").alias("w"))
+    pool = words.join(topk_per_key(node_words, ["w"], [F.desc("importance"), F.col("node_id")], candidates), "w")
     similar = pool.withColumn("match_confidence", jaccard("ek", "nk")).where(F.col("match_confidence") >= merge)
     similar = topk_per_key(similar, ["entity_id"], [F.desc("match_confidence"), F.desc("importance"), F.col("node_id")], 1).select("entity_id", F.lit("keyword").alias("method"), "node_id", "match_confidence")
-    made = left.join(similar, "entity_id", "left_anti").select("entity_id", F.lit("created").alias("method"), F.lit(None).cast("string").alias("node_id"), F.lit(0.0).alias("match_confidence"))
+    made = left.join(similar, "entity_id", "left_anti").select("entity_id", F.trim("name").alias("name"), "confidence")
+    first = F.row_number().over(Window.partitionBy("name").orderBy("entity_id")) == 1  # entities of one name make one node
+    made = made.select("entity_id", F.when(first, "created").otherwise("exact_name").alias("method"), node_id_of(F.col("name")).alias("node_id"), F.when(first, F.col("confidence")).otherwise(F.lit(1.0)).alias("match_confidence"))
     return done.unionByName(exact).unionByName(self_).unionByName(listed).unionByName(similar).unionByName(made)
 
 
+def edge_id_of(source: str, target: str) -> Column:
+    """The id of an edge that an operation makes, the same in every run."""
+    return F.concat_ws("|", source, target, "relation")
+
+
 def validate_operations(ops: DataFrame, nodes: DataFrame, edges: DataFrame, least: float = 0.6) -> DataFrame:
     """Operations with is_valid, reason (the first that fails) and duplicate_edge_id; symmetric relations are put in id order."""
     ids = nodes.select("id").distinct()
@@ -144,22 +214,32 @@ def validate_operations(ops: DataFrame, nodes: DataFrame, edges: DataFrame, leas
         .when(F.col("op_type") == "add_alias", F.when(F.col("n_known").isNull(), "node missing").when(F.trim(F.coalesce("alias", F.lit(""))) == "", "blank alias"))
         .otherwise("unknown operation")
     )
-    return j.withColumn("reason", reason).withColumn("is_valid", F.col("reason").isNull()).select(*[c for c in ops.columns], "is_valid", "reason", F.when(F.col("op_type") == "insert_edge", F.col("duplicate_edge_id")).alias("duplicate_edge_id"))
+    j = j.withColumn("reason", reason)
+    again = (F.col("op_type") == "insert_edge") & F.col("reason").isNull()
+    turn = F.row_number().over(Window.partitionBy(again, "s", "t", "relation").orderBy("op_id"))
+    j = j.withColumn("again", again & (turn > 1))  # an earlier operation of the batch makes the edge
+    j = j.withColumns({"reason": F.when(F.col("again"), "duplicate").otherwise(F.col("reason")), "duplicate_edge_id": F.when(F.col("again"), edge_id_of("s", "t")).otherwise(F.col("duplicate_edge_id"))})
+    return j.withColumn("is_valid", F.col("reason").isNull()).select(*[c for c in ops.columns], "is_valid", "reason", F.when(F.col("op_type") == "insert_edge", F.col("duplicate_edge_id")).alias("duplicate_edge_id"))
 
 
 def apply_operations(edges: DataFrame, aliases: DataFrame, checked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """New edges, new aliases and a one-row report. A duplicate insert becomes a change of confidence."""
+    """New edges, new aliases and a one-row report. A duplicate insert becomes a change of confidence, the last one counts."""
     swap = F.col("relation").isin(SYMMETRIC) & (F.col("source_id") > F.col("target_id"))
     s, t = F.when(swap, F.col("target_id")).otherwise(F.col("source_id")), F.when(swap, F.col("source_id")).otherwise(F.col("target_id"))
-    new = checked.where("is_valid and op_type = 'insert_edge'").select(s.alias("source_id"), t.alias("target_id"), "relation", clamp("confidence").alias("confidence"))
-    new = new.groupBy("source_id", "target_id", "relation").agg(F.max("confidence").alias("confidence"))
+    evidence = F.coalesce("evidence_memory_ids", F.array().cast("array<string>")) if "evidence_memory_ids" in checked.columns else F.array().cast("array<string>")
+    new = checked.where("is_valid and op_type = 'insert_edge'").select(s.alias("source_id"), t.alias("target_id"), "relation", clamp("confidence").alias("confidence"), evidence.alias("evidence_memory_ids"))
     weight = F.coalesce(*(F.when(F.col("relation") == r, F.lit(w)) for r, w in RELATIONS.items()))
-    new = new.select(F.concat_ws("|", "source_id", "target_id", "relation").alias("id"), "source_id", "target_id", "relation", "confidence", weight.alias("weight"), F.lit(True).alias("active"))
-    changes = checked.where("(is_valid and op_type = 'update_edge_confidence') or reason = 'duplicate'")
-    changes = changes.groupBy(F.coalesce("duplicate_edge_id", "edge_id").alias("id")).agg(F.max_by("confidence", "op_id").alias("c"))
+    new = new.select(edge_id_of("source_id", "target_id").alias("id"), "source_id", "target_id", "relation", "confidence", weight.alias("weight"), F.lit(True).alias("active"), "evidence_memory_ids")
+    new = new if "evidence_memory_ids" in edges.columns else new.drop("evidence_memory_ids")
+    updates = "(is_valid and op_type = 'update_edge_confidence') or reason = 'duplicate'"
+    changes = checked.where(updates).groupBy(F.coalesce("duplicate_edge_id", "edge_id").alias("id")).agg(F.max_by("confidence", "op_id").alias("c"))
     off = checked.where("is_valid and op_type = 'deactivate_edge'").select(F.col("edge_id").alias("id")).distinct().withColumn("off", F.lit(True))
-    kept = edges.join(changes, "id", "left").join(off, "id", "left").withColumn("confidence", F.coalesce(clamp("c"), "confidence")).withColumn("active", F.col("active") & F.col("off").isNull()).drop("c", "off")
+    every = edges.unionByName(new, allowMissingColumns=True)
+    every = every.join(changes, "id", "left").join(off, "id", "left").withColumn("confidence", F.coalesce(clamp("c"), "confidence")).withColumn("active", F.col("active") & F.col("off").isNull()).drop("c", "off")
     added = checked.where("is_valid and op_type = 'add_alias'").select("node_id", F.lower(F.trim("alias")).alias("alias")).distinct().join(aliases, ["node_id", "alias"], "left_anti")
     count = lambda c: F.count_if(F.expr(c))
-    report = checked.agg(count("is_valid and op_type = 'insert_edge'").alias("inserted"), count("(is_valid and op_type = 'update_edge_confidence') or reason = 'duplicate'").alias("updated"), count("is_valid and op_type = 'deactivate_edge'").alias("deactivated"), count("is_valid and op_type = 'add_alias'").alias("aliased"), count("not is_valid").alias("rejected"))
-    return kept.unionByName(new, allowMissingColumns=True), aliases.unionByName(added, allowMissingColumns=True), report
+    report = checked.agg(
+        count("is_valid and op_type = 'insert_edge'").alias("inserted"), count(updates).alias("updated"), F.count_distinct(F.when(F.expr("is_valid and op_type = 'deactivate_edge'"), F.col("edge_id"))).alias("deactivated"),
+        count("not is_valid").alias("rejected"), count("reason = 'duplicate'").alias("converted"),
+    ).join(added.agg(F.count("*").alias("aliased")), F.lit(True))
+    return every, aliases.unionByName(added, allowMissingColumns=True), report

@@ -63,9 +63,10 @@ def upsert(table: DataFrame, rows: DataFrame, keys: list[str], by: list[Column])
 
 
 def patch(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Columns of changes replace those of the table where they aren't null; one change per key."""
+    """Columns of changes replace those of the table where they aren't null. Of several changes of a key the greatest value
+    of each column counts, so a row never becomes two."""
     fields = [c for c in changes.columns if c != key and c in table.columns]
-    renamed = changes.select(key, *(F.col(c).alias(f"_new_{c}") for c in fields))
+    renamed = changes.groupBy(key).agg(*(F.max(c).alias(f"_new_{c}") for c in fields))
     out = table.join(renamed, key, "left")
     return out.select(*(F.coalesce(f"_new_{c}", c).alias(c) if c in fields else F.col(c) for c in table.columns))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from engram.functions.exprs import RELATIONS, clamp, entity_name, first_sentence, repaired_json, strip_fences
+from engram.functions.exprs import RELATIONS, clamp, entity_name, first_sentence, repaired_json, strip_fences, strip_tool_calls
 
 
 def ordered_text(turns: DataFrame, line, sep: str = "\n") -> DataFrame:
@@ -21,8 +21,9 @@ def snippet(turns: DataFrame, chars: int = 8000) -> DataFrame:
 
 
 def extractive_fallback(turns: DataFrame, chars: int = 1500) -> DataFrame:
+    """The first sentences (200 characters at most) of what users and assistants said, with the speaker."""
     said = turns.where(F.col("role").isin("user", "assistant") & (F.trim("text") != ""))
-    return ordered_text(said, first_sentence("text"), " ").select("session_id", F.substring("text", 1, chars).alias("text"))
+    return ordered_text(said, F.concat(F.initcap("role"), F.lit(": "), first_sentence("text")), " ").select("session_id", F.substring("text", 1, chars).alias("text"))
 
 
 def trimmed_history(turns: DataFrame, pairs: int = 4) -> DataFrame:
@@ -40,6 +41,22 @@ def narrative_chunks(chunks: DataFrame, budget: int = 12000) -> DataFrame:
     return kept.withColumn("omitted", F.col("n") - F.max("rn").over(Window.partitionBy("session_id"))).select("session_id", "idx", "text", "omitted")
 
 
+def narrative_text(chunks: DataFrame, budget: int = 12000) -> DataFrame:
+    """(session_id, text) of chunks(session_id, idx, text) within the budget, with their own numbers from 1, and a line on those left out."""
+    kept = narrative_chunks(chunks, budget)
+    rows = kept.groupBy("session_id", "omitted").agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("rows"))
+    head = F.when(F.col("omitted") > 0, F.format_string("  (earliest %d chunk note(s) omitted — over length budget)\n", "omitted")).otherwise(F.lit(""))
+    return rows.select("session_id", F.concat(head, F.array_join(F.transform("rows", lambda r, i: F.format_string("  %d. %s", i + F.col("omitted") + 1, r["text"])), "\n")).alias("text"))
+
+
+def extraction_snippet(turns: DataFrame, chars: int = 6000) -> DataFrame:
+    """(session_id, text): pairs(session_id, pos, user, assistant) one after the other without tool calls, the last characters."""
+    said = turns.where((F.coalesce("user", F.lit("")) != "") | (F.coalesce("assistant", F.lit("")) != ""))
+    line = F.concat(F.lit("User: "), F.coalesce("user", F.lit("")), F.lit("\nAssistant: "), strip_tool_calls(F.coalesce("assistant", F.lit(""))))
+    rows = said.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))).alias("rows"))
+    return rows.select("session_id", F.expr(f"right(array_join(transform(rows, r -> r.line), '\n'), {chars})").alias("text"))
+
+
 def parse_tool_calls(texts: DataFrame) -> DataFrame:
     """texts(id, text) -> (id, pos, tool, arguments); malformed calls are dropped, arguments default to {}."""
     found = texts.select("id", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?is)<\s*tool[_-]?call\s*>(.*?)<\s*/\s*tool[_-]?call\s*>"), F.lit(1))).alias("pos", "raw"))

@@ -8,23 +8,26 @@ from pyspark.sql import functions as F
 from engram.functions.exprs import dot, negation_mismatch, norm
 from engram.operators.tables import topk_per_key
 
-#: Query rows up to which they are broadcast; beyond, both sides are blocked by a join key.
+#: Query rows of a part; each part is broadcast and meets the store once.
 BROADCAST_QUERIES = 10_000
 
 
 def knn(store: DataFrame, queries: DataFrame, k: int, where: Column | None = None, id_: str = "id", vector: str = "embedding") -> DataFrame:
     """For each of queries(query_id, q) the k nearest rows of the store, with distance (6 places) and rank order by id.
 
-    The stated queries meet every row; each task keeps its own k best per query before the shuffle."""
+    The stated queries meet every row; each task keeps its own k best per query before the shuffle. More queries than
+    BROADCAST_QUERIES are taken in parts, a pass over the store each."""
     rows = (store if where is None else store.where(where)).withColumn("_n", norm(vector)).where(F.col("_n") > 0)
     asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).withColumn("_qn", norm("q")).where(F.col("_qn") > 0)
-    if asked.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        pairs = rows.join(F.broadcast(asked), F.lit(True))
-    else:  # queries in parts, each part against all rows
-        parts = 64
-        pairs = rows.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(asked.withColumn("_p", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int")), "_p").drop("_p")
-    scored = pairs.withColumn("distance", F.round(1 - dot(vector, "q") / (F.col("_n") * F.col("_qn")), 6)).drop("_n", "_qn", "q")
-    return topk_per_key(scored, ["query_id"], [F.col("distance"), F.col(id_)], k)
+    parts = max(1, -(-asked.count() // BROADCAST_QUERIES))
+    found = None
+    for p in range(parts):
+        part = asked if parts == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p)
+        pairs = rows.join(F.broadcast(part), F.lit(True))
+        scored = pairs.withColumn("distance", F.round(1 - dot(vector, "q") / (F.col("_n") * F.col("_qn")), 6)).drop("_n", "_qn", "q")
+        best = topk_per_key(scored, ["query_id"], [F.col("distance"), F.col(id_)], k)
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def classify_facts(nearest: DataFrame, near: float = 0.08, paraphrase: float = 0.35) -> DataFrame:

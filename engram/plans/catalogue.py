@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from engram.functions import exprs as E
 from engram.operators import graph as G
@@ -13,40 +12,9 @@ from engram.operators import lifecycle as L
 from engram.operators import tables as T
 from engram.operators import text as X
 from engram.operators import vector as V
+from engram.plans.base import AS_OF, EDGES, KEYWORDS, LINKS, MEMORY, NODES, ORACLE, PRIOR, QUERIES, as_of, query, r6
 from engram.sources import proxies as P
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-STOP = ", ".join(f"'{w}'" for w in E.STOPWORDS)
-KEYWORDS = f"list_filter(regexp_extract_all(lower({{}}), '[a-z0-9]+'), lambda w: length(w) > 1 and w not in ({STOP}))"
-NODES = "nodes as (select p_partkey as id, p_name as name, p_type as type, lower(p_type) as heading, p_size/50.0 as importance, (p_retailprice-900)/100.0 as confidence, p_size as access_count, p_partkey % 50 as traversal_count from part)"
-EDGES = """edges as (select 'S'||l_suppkey||'-P'||l_partkey as id, 'S'||l_suppkey as source_id, 'P'||l_partkey as target_id, round(avg(l_discount)*10,6) as weight, round(avg(l_quantity)/50,6) as confidence,
- max(l_linestatus)='O' as active, case max(l_returnflag) when 'A' then 'uses' when 'N' then 'related_to' else 'mentions' end as relation from lineitem group by l_suppkey, l_partkey)"""
-LINKS = "links as (select l_partkey as node_id, l_orderkey as memory_id, case when max(case when l_returnflag='R' then 1 else 0 end)=1 then 'semantic' else 'episodic' end as memory_type, round(1-max(l_discount),6) as relevance from lineitem group by 1,2)"
-MEMORY = """wm as (select event_id as id, user_id as session_id, event_type as memory_type, least(1.0, value/500) as priority, ts as created_at,
- case when event_type<>'signup' then ts + to_days(case event_type when 'error' then 5 when 'click' then 10 else 20 end) end as expires_at from events)"""
-PRIOR = "(0.4*importance + 0.3*confidence + 0.3*least(1.0, ln(1+access_count+traversal_count)/ln(51)))"
-AS_OF = "2024-01-20 00:00:00"
-
-
-def query(sql: str = ""):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def as_of(text: str = AS_OF):
-    return F.lit(text).cast("timestamp_ntz")
-
-
-def r6(c, name: str):
-    return F.round(c, 6).alias(name)
-
+from engram.sources.store import settled
 
 @query("select p_name as name, min(p_partkey) as id, count(*) as n from part where p_name in ('red widget', 'small ring', 'blue gear') group by p_name")
 def node_lookup_by_name(s, d):
@@ -81,11 +49,6 @@ def edges_to_topk(s, d):
     return T.topk_per_key(P.edges(s, d).where("active"), ["target_id"], [F.desc("weight"), F.desc("confidence"), F.col("id")], 5).select("target_id", "id", "weight")
 
 
-@query("select l_suppkey, l_partkey, max(l_extendedprice) as weight, count(*) as n from lineitem group by 1, 2")
-def strongest_edge_between(s, d):
-    return P.table(s, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.max("l_extendedprice").alias("weight"), F.count("*").alias("n"))
-
-
 @query(f"with {NODES}, a as (select distinct lower(p_brand) as alias, p_partkey as node_id from part) select alias, node_id from (select a.alias, a.node_id, row_number() over (partition by alias order by importance desc, node_id) rn from a join nodes on id=node_id) where rn=1")
 def node_by_alias_best(s, d):
     j = P.aliases(s, d).distinct().join(P.nodes(s, d).select(F.col("id").alias("node_id"), "importance"), "node_id")
@@ -176,8 +139,6 @@ def ttl_refresh(s, d):
 
 @query("with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) > interval 12 hours then 1 else 0 end as b from events), n as (select user_id, ts, sum(b) over (partition by user_id order by ts rows unbounded preceding) as k from g) select user_id as session_id, k::bigint as k, count(*) as n_turns from n group by 1, 2")
 def session_activity(s, d):
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy("user_id").orderBy("ts")
     gap = F.when(F.timestamp_diff("SECOND", F.lag("ts").over(w), F.col("ts")) >= 43200, F.when(F.col("ts") - F.lag("ts").over(w) > F.expr("interval '12' hour"), 1).otherwise(0)).otherwise(0)
     e = P.table(s, d, "events").withColumn("b", gap)
@@ -197,15 +158,10 @@ def turn_chunks_of_5(s, d):
 
 def stream_chunks_equals_batch(s, d):
     """The streamed chunks; tests hold them against turn_chunks_of_5."""
-    import uuid
-
-    from engram.streaming.turns import turn_chunks
+    from engram.streaming.turns import run_once, turn_chunks
 
-    name = f"chunks_{uuid.uuid4().hex}"
     stream = s.readStream.schema("conv_id long, turn long, role string, text string").parquet(f"{d}/conversations.parquet*")
-    q = turn_chunks(stream.withColumnRenamed("conv_id", "session_id")).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return s.table(name)
+    return run_once(turn_chunks(stream.withColumnRenamed("conv_id", "session_id")), "chunks")
 
 
 QUERIES["stream_chunks_equals_batch"] = stream_chunks_equals_batch
@@ -227,7 +183,9 @@ def chunk_narrative_budget(s, d):
     return X.narrative_chunks(P.turns(s, d).select("session_id", F.col("turn").alias("idx"), "text"), 3000).select("session_id", "idx")
 
 
-@query()
+@query("""with t as (select conv_id, turn, role, trim(text) as t from conversations where role in ('user','assistant') and trim(text) <> ''),
+ f as (select *, upper(role[1])||role[2:]||': '||substr(regexp_extract(t, '(?s)^(.*?[.!?])\\s', 1), 1, 200) as cut, upper(role[1])||role[2:]||': '||substr(t, 1, 200) as whole, regexp_matches(t, '[.!?]\\s') as more from t)
+ select conv_id as session_id, md5(substr(string_agg(case when more then cut else whole end, ' ' order by turn, role), 1, 1500)) as digest from f group by 1""")
 def extractive_fallback(s, d):
     return X.extractive_fallback(P.turns(s, d)).select("session_id", F.md5("text").alias("digest"))
 
@@ -268,19 +226,19 @@ def knn_filtered(s, d):
     return V.knn(P.table(s, d, "embeddings").withColumnRenamed("vec_id", "id"), _asked(s, d), 5, where=T.predicate({"label": {"$lt": 3}})).select("query_id", "id", "distance")
 
 
-@query(f"""with n as (select * from (select *, row_number() over (partition by query_id order by distance, id) rn from ({KNN} where e.vec_id % 2 = 1)) where rn=1)
+@query(f"""with n as (select * from (select *, row_number() over (partition by query_id order by distance, id) rn from ({KNN} where e.vec_id <> q.vec_id)) where rn=1)
 select query_id, case when distance <= 0.6 then 'touch' when distance <= 0.8 and query_id % 3 = id % 3 then 'touch' else 'insert' end as action from n""")
 def near_duplicate_classify(s, d):
-    """Thresholds fit the random test vectors; the defaults are tested on small tables."""
-    near = V.knn(P.table(s, d, "embeddings").where("vec_id % 2 = 1").withColumnRenamed("vec_id", "id"), _asked(s, d), 1)
+    """Every stored fact is searched but the one that is asked about. Thresholds fit the random test vectors; the defaults are
+    tested on small tables."""
+    near = V.knn(P.table(s, d, "embeddings").withColumnRenamed("vec_id", "id"), _asked(s, d), 2).where("id <> query_id")
+    near = T.topk_per_key(near, ["query_id"], [F.col("distance"), F.col("id")], 1)
     facts = near.select("query_id", "distance", F.lit(0.5).alias("new_importance"), F.lit(0.5).alias("old_importance"), (F.col("query_id") % 3).alias("new_category"), (F.col("id") % 3).alias("old_category"), F.lit("neutral").alias("new_polarity"), F.lit("neutral").alias("old_polarity"), F.lit("a").alias("new_text"), F.lit("a").alias("old_text"))
     return V.classify_facts(facts, 0.6, 0.8).select("query_id", "action")
 
 
 @query(f"""with {LINKS}, h as (select query_id, id, row_number() over (partition by query_id order by distance, id) rn from ({KNN})) , j as (select h.query_id, node_id, min(rn) as pos from h join links on memory_id = id where rn<=5 group by 1,2) select query_id, node_id, pos from j""")
 def semantic_node_hits(s, d):
-    from pyspark.sql.window import Window
-
     near = V.knn(P.table(s, d, "embeddings").withColumnRenamed("vec_id", "id"), _asked(s, d), 5).withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")))
     return near.join(P.links(s, d).withColumnRenamed("memory_id", "id"), "id").groupBy("query_id", "node_id").agg(F.min("pos").alias("pos"))
 
@@ -290,41 +248,59 @@ def graph_prior(s, d):
     return P.nodes(s, d).select("id", r6(E.graph_prior(), "prior"))
 
 
-ASKED = "q as (select * from (values (1,'red widget for the small gear'), (2,'blue bolt'), (3,'the and of'), (4,'promo ring economy')) t(query_id, text))"
-HITS = f"""{NODES}, {ASKED}, k as (select distinct id as node_id, unnest({KEYWORDS.format("name||' '||heading")}) as keyword from nodes),
- t0 as (select query_id, unnest({KEYWORDS.format("text")}) as token from q), t as (select distinct * from t0),
- h as (select query_id, token, node_id from (select t.query_id, token, node_id, row_number() over (partition by query_id, token order by importance desc, name, node_id) rn from t join k on token=keyword join nodes on id=node_id) where rn<=20),
- p as (select h.*, row_number() over (partition by query_id order by token, importance desc, name, node_id) as place from h join nodes on id=node_id),
- s as (select query_id, node_id, sum(1.0/(60+place)) as s from p group by 1,2),
+ASKED = "q as (select * from (values (1,'red widget for the small gear'), (2,'blue bolt brand#3'), (3,'the and of'), (4,'promo ring economy'), (5, 'small')) t(query_id, text))"
+QUESTIONS = [(1, "red widget for the small gear"), (2, "blue bolt brand#3"), (3, "the and of"), (4, "promo ring economy"), (5, "small")]
+NAMED = f"""{NODES}, named as (select id, name, type, heading, importance, confidence, access_count, traversal_count from nodes union all select 1000000 + row_number() over (order by w), w, 'Concept', '', 0.5, 0.5, 3, 1 from (select distinct split_part(p_name, ' ', 2) as w from part)),
+ alias as (select distinct 'brand'||substr(p_brand, 7) as alias, p_partkey as node_id from part union all select 'bolt', id from named where name = 'gear')"""
+HITS = f"""{NAMED}, {ASKED}, k as (select distinct id as node_id, unnest({KEYWORDS.format("name||' '||heading")}) as keyword from named),
+ t0 as (select query_id, {KEYWORDS.format("text")} as ws from q), t as (select query_id, w as token, list_position(ws, w) - 1 as pos from (select query_id, ws, unnest(list_distinct(ws)) as w from t0)),
+ h as (select query_id, pos, token, node_id, importance, name from (select t.query_id, pos, token, node_id, importance, name, row_number() over (partition by query_id, token order by importance desc, name, node_id) rn from t join k on token=keyword join named on id=node_id) where rn<=20),
+ pre as (select * from (select t.query_id, pos, token, id as node_id, importance, name, lower(name) = token as exact, row_number() over (partition by query_id, token order by importance desc, name, id) rn from t join named on length(token) >= 3 and starts_with(lower(name), token)) where rn <= 5),
+ al as (select * from (select t.query_id, a.node_id, row_number() over (partition by query_id, token order by importance desc, a.node_id) rn from t join alias a on a.alias = token join named on id = a.node_id) where rn = 1),
+ t1 as (select query_id, node_id from pre where exact union select query_id, node_id from al),
+ p1 as (select query_id, node_id, row_number() over (partition by query_id order by pos, importance desc, name, node_id) as place from (select *, row_number() over (partition by query_id, node_id order by pos, importance desc, name) n from pre where not exact) where n = 1 and (query_id, node_id) not in (select query_id, node_id from t1)),
+ p2 as (select query_id, node_id, row_number() over (partition by query_id order by pos, importance desc, name, node_id) as place from h where (query_id, node_id) not in (select query_id, node_id from t1)),
+ s as (select query_id, node_id, sum(1.0/(60+place)) as s from (select * from p1 union all select * from p2) group by 1,2),
  f as (select query_id, node_id, case when max(s) over (partition by query_id) > min(s) over (partition by query_id) then (s - min(s) over (partition by query_id))/(max(s) over (partition by query_id)-min(s) over (partition by query_id)) else 1.0 end as rrf from s),
- z as (select query_id, node_id, rrf, 0.75*rrf + 0.25*{PRIOR} as score from f join nodes on id=node_id)"""
+ z as (select query_id, node_id, rrf, 0.75*rrf + 0.25*{PRIOR} as score from f join named on id=node_id)"""
+
+
+def _named(s, d):
+    """Nodes, and one more for each second word of a name, so that a token can be a whole name; aliases of brands, and one of 'gear'."""
+    n = P.nodes(s, d)
+    words = n.select(F.get(F.split("name", " "), F.lit(1)).alias("name")).distinct()  # a vocabulary of a few words
+    words = words.withColumn("id", F.row_number().over(Window.orderBy("name")) + 1000000)
+    more = words.select("id", "name", F.lit("Concept").alias("type"), F.lit("").alias("heading"), F.lit(0.5).alias("importance"), F.lit(0.5).alias("confidence"), F.lit(3).alias("access_count"), F.lit(1).alias("traversal_count"))
+    named = n.unionByName(more)
+    aliases = P.aliases(s, d).select("node_id", F.concat(F.lit("brand"), F.substring("alias", 7, 9)).alias("alias")).distinct()
+    return named, aliases.unionByName(more.where("name = 'gear'").select(F.col("id").alias("node_id"), F.lit("bolt").alias("alias")))
 
 
 def _fused(s, d):
-    from pyspark.sql.window import Window
+    named, aliases = _named(s, d)
+    tier1, hits = G.candidates(s.createDataFrame(QUESTIONS, "query_id int, text string"), named, aliases)
+    return tier1, G.fused(hits, named), named
 
-    n = P.nodes(s, d)
-    q = s.createDataFrame([(1, "red widget for the small gear"), (2, "blue bolt"), (3, "the and of"), (4, "promo ring economy")], "query_id int, text string")
-    tokens = G.query_tokens(q)
-    hits = G.by_keyword(tokens, n, G.keyword_index(n)).join(tokens, ["query_id", "pos"])
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("token", F.desc("importance"), "name", "node_id"))
-    return G.fused(hits.select("query_id", F.lit("keyword").alias("method"), place.alias("place"), "node_id"), n), n
+
+@query(f"with {HITS} select query_id, node_id from t1")
+def tier1_hits(s, d):
+    """Nodes that a question names: a token is their name or an alias."""
+    return _fused(s, d)[0]
 
 
 @query(f"with {HITS} select query_id, node_id, round(rrf,6) as rrf, round(score,6) as score from z")
 def rrf_fusion(s, d):
-    return _fused(s, d)[0].select("query_id", "node_id", r6("rrf", "rrf"), r6("score", "score"))
+    return _fused(s, d)[1].select("query_id", "node_id", r6("rrf", "rrf"), r6("score", "score"))
 
 
-SEEDS = f"""{HITS}, t1 as (select 1 as query_id, id as node_id from nodes where id < 7), r1 as (select query_id, node_id, 1 as tier, 1.0 as score, row_number() over (order by {PRIOR} desc, node_id) rn from t1 join nodes on id=node_id),
- r2 as (select query_id, node_id, 2 as tier, score, row_number() over (partition by query_id order by score desc, node_id) rn from z where (query_id, node_id) not in (select query_id, node_id from t1)),
- u as (select * from r1 where rn<=2 union all select * from r2), seeds as (select query_id, node_id, tier from (select *, row_number() over (partition by query_id order by tier, rn) k from u) where k<=5)"""
+SEEDS = f"""{HITS}, r1 as (select query_id, node_id, 1 as tier, row_number() over (partition by query_id order by {PRIOR} desc, node_id) rn, count(*) over (partition by query_id) as n from t1 join named on id=node_id),
+ r2 as (select query_id, node_id, 2 as tier, row_number() over (partition by query_id order by score desc, node_id) rn from z),
+ u as (select query_id, node_id, tier, rn from r1 where rn <= case when n >= 5 then 2 else n end union all select * from r2), seeds as (select query_id, node_id, tier from (select *, row_number() over (partition by query_id order by tier, rn) k from u) where k<=5)"""
 
 
 def _seeds(s, d):
-    ranked, n = _fused(s, d)
-    tier1 = n.where("id < 7").select(F.lit(1).alias("query_id"), F.col("id").alias("node_id"))
-    return G.seeds(tier1, ranked, n), n
+    tier1, ranked, named = _fused(s, d)
+    return settled(G.seeds(tier1, ranked, named), "seeds"), named
 
 
 @query(f"with {SEEDS} select query_id, node_id, tier from seeds")
@@ -332,6 +308,13 @@ def seed_selection(s, d):
     return _seeds(s, d)[0].select("query_id", "node_id", "tier")
 
 
+@query(f"with {SEEDS}, c as (select node_id, count(*) as n from seeds group by 1) select id, traversal_count + coalesce(n, 0) as traversal_count from named left join c on node_id = id")
+def seed_traversal_bump(s, d):
+    """Nodes that became seeds are counted."""
+    found, named = _seeds(s, d)
+    return T.add_hits(named, found.select(F.col("node_id").alias("id")), "id", "traversal_count").select("id", "traversal_count")
+
+
 BFS = f"""{EDGES}, live as (select * from edges where active), o as (select source_id as a, target_id as b, row_number() over (partition by source_id order by weight desc, confidence desc, id) rn from live),
  i as (select target_id as a, source_id as b, row_number() over (partition by target_id order by weight desc, confidence desc, id) rn from live), e as (select a, b from o where rn<=5 union select a, b from i where rn<=5),
  h0 as (select 'S'||s_suppkey as n from supplier where s_suppkey % 10 = 0), h1 as (select distinct h0.n as q, b as n from h0 join e on a=n)"""
@@ -358,22 +341,29 @@ def subgraph_edges_labelled(s, d):
     return G.labelled_edges(P.edges(s, d).where("weight >= 0.9"), named).select("id", "source", "relation", "target")
 
 
-ENTITIES = """ent as (select row_number() over (order by name) as entity_id, name as base, type from (select p_name as name, min(lower(p_type)) as type from part group by p_name)),
- en as (select entity_id, case entity_id % 3 when 0 then base when 1 then upper(base) else split_part(base,' ',2)||' '||split_part(base,' ',1) end as name, type as heading, (entity_id % 10)/10.0 as confidence from ent)"""
+ENTITIES = f"""u as (select name, min(lower(p_type)) as heading, min(p_partkey) as id, max(p_size)/50.0 as importance from (select *, p_name as name from part) group by name),
+ al as (select lower(name) as alias, id as node_id from u union all select 'the '||lower(name), id from u),
+ en as (select id as entity_id, case id % 6 when 0 then name when 1 then upper(name) when 2 then split_part(name,' ',2)||' '||split_part(name,' ',1) when 3 then 'new thing '||(id // 12) when 4 then 'Known As '||id else name end as name,
+  case when id % 6 = 3 then '' else heading end as heading, case when id % 6 = 4 then ['x', 'The '||name] else []::varchar[] end as aliases, case when id % 6 = 5 then 0.4 else 0.9 end as confidence from u),
+ ek as (select entity_id, list_distinct({KEYWORDS.format("name||' '||heading")}) as k from en), nk as (select id, importance, list_distinct({KEYWORDS.format("name||' '||heading")}) as k from u),
+ byw as (select w, id, importance, k from (select unnest(k) as w, id, importance, k, row_number() over (partition by w order by importance desc, id::varchar) rn from (select id, importance, k, unnest(k) as w from nk)) where rn <= 10)"""
 
 
-@query(f"""with {NODES}, {ENTITIES}, u as (select name, min(id) as id from nodes group by name), al as (select lower(name) as alias from u)
- select entity_id, case when confidence < 0.5 then 'skipped' when name in (select name from u) then 'exact_name' when lower(name) in (select alias from al) then 'alias_self' else 'keyword' end as method from en""")
+@query(f"""with {ENTITIES}, st as (select en.*, (select min(id) from u where u.name = en.name) as x, (select min(node_id) from al where alias = lower(en.name)) as a, (select min(node_id) from al where list_contains(list_transform(en.aliases, lambda y: lower(y)), alias)) as l from en),
+ kw as (select entity_id, id, s from (select e.entity_id, b.id, len(list_intersect(e.k, b.k))/len(list_distinct(e.k||b.k))::double as s, row_number() over (partition by e.entity_id order by len(list_intersect(e.k, b.k))/len(list_distinct(e.k||b.k))::double desc, b.importance desc, b.id::varchar) rn from ek e join (select distinct id, importance, k, w from byw) b on list_contains(e.k, b.w) where len(list_intersect(e.k, b.k))/len(list_distinct(e.k||b.k))::double >= 0.85) where rn = 1),
+ r as (select st.entity_id, st.name, case when confidence < 0.5 then 'skipped' when x is not null then 'exact_name' when a is not null then 'alias_self' when l is not null then 'alias_list' when kw.id is not null then 'keyword' else 'created' end as method, x, a, l, kw.id as kid, kw.s, confidence from st left join kw using (entity_id)),
+ z as (select *, row_number() over (partition by method, name order by entity_id) as rn from r)
+ select entity_id, case when method = 'created' and rn > 1 then 'exact_name' else method end as method, case method when 'exact_name' then x::varchar when 'alias_self' then a::varchar when 'alias_list' then l::varchar when 'keyword' then kid::varchar when 'created' then 'n_'||md5(name) end as node_id,
+  round(case method when 'skipped' then 0 when 'keyword' then s when 'created' then case when rn > 1 then 1.0 else confidence end else 1.0 end, 6) as match_confidence from z""")
 def entity_resolution_cascade(s, d):
     n = P.nodes(s, d).groupBy("name").agg(F.min("heading").alias("heading"), F.min("id").alias("id"), F.max("importance").alias("importance"))
-    from pyspark.sql.window import Window
-
-    rows = n.select(F.row_number().over(Window.orderBy("name")).alias("entity_id"), F.col("name").alias("base"), "heading")  # distinct names only
-    parts = F.split("base", " ")
-    name = F.when(F.col("entity_id") % 3 == 0, F.col("base")).when(F.col("entity_id") % 3 == 1, F.upper("base")).otherwise(F.concat_ws(" ", F.get(parts, F.lit(1)), F.get(parts, F.lit(0))))
-    ents = rows.select("entity_id", name.alias("name"), "heading", F.array().cast("array<string>").alias("aliases"), (F.col("entity_id") % 10 / 10.0).alias("confidence"))
-    aliases = n.select(F.col("id").alias("node_id"), F.lower("name").alias("alias"))
-    return G.resolve_entities(ents, n, aliases, candidates=64).select("entity_id", "method")
+    i, parts = F.col("id"), F.split("name", " ")
+    name = F.when(i % 6 == 1, F.upper("name")).when(i % 6 == 2, F.concat_ws(" ", F.get(parts, F.lit(1)), F.get(parts, F.lit(0)))).when(i % 6 == 3, F.concat(F.lit("new thing "), F.floor(i / 12).cast("string"))).when(i % 6 == 4, F.concat(F.lit("Known As "), i.cast("string"))).otherwise(F.col("name"))
+    listed = F.when(i % 6 == 4, F.array(F.lit("x"), F.concat(F.lit("The "), "name"))).otherwise(F.array().cast("array<string>"))
+    ents = n.select(i.alias("entity_id"), name.alias("name"), F.when(i % 6 == 3, "").otherwise(F.col("heading")).alias("heading"), listed.alias("aliases"), F.when(i % 6 == 5, 0.4).otherwise(0.9).alias("confidence"))
+    low = F.lower("name")
+    aliases = n.select(i.alias("node_id"), F.explode(F.array(low, F.concat(F.lit("the "), low))).alias("alias"))
+    return G.resolve_entities(ents, n, aliases).select("entity_id", "method", "node_id", r6("match_confidence", "match_confidence"))
 
 
 @query(f"""with {NODES}, w as (select distinct name, {KEYWORDS.format('name')} as k from nodes) select a.name as a, b.name as b, round(len(list_intersect(a.k,b.k))/len(list_distinct(a.k||b.k))::double,6) as jaccard from w a join w b on a.name < b.name and len(list_intersect(a.k,b.k)) > 0""")
@@ -383,29 +373,65 @@ def jaccard_match(s, d):
     return one.join(two, "w").where("a < b").select("a", "b", r6(E.jaccard("ka", "kb"), "jaccard")).distinct()
 
 
-OPS = f"""{EDGES}, ops as (select l_orderkey*100000+l_partkey as op_id, 'S'||(l_suppkey + case when l_orderkey % 11 = 0 then 100000 else 0 end) as source_id, 'P'||l_partkey as target_id, case when l_orderkey % 7 = 0 then 'likes' else 'uses' end as relation, min(l_quantity)/50 as confidence from lineitem group by 1,2,3,4),
- chk as (select o.op_id, case when not exists (select 1 from supplier s where 'S'||s.s_suppkey = o.source_id) then 'node missing' when o.relation = 'likes' then 'unknown relation' when o.confidence < 0.6 then 'low confidence' when d.id is not null then 'duplicate' end as reason
- from ops o left join edges d on d.source_id=o.source_id and d.target_id=o.target_id and d.relation=o.relation and d.active)"""
+OPS = f"""{EDGES}, ops as (select l_orderkey*100000+l_partkey as op_id, 'insert_edge' as op_type, 'S'||(l_suppkey + case when l_orderkey % 11 = 0 then 100000 else 0 end) as source_id, 'P'||l_partkey as target_id, case when l_orderkey % 7 = 0 then 'likes' else 'uses' end as relation, min(l_quantity)/50 as confidence, null::varchar as edge_id, null::varchar as node_id, null::varchar as alias from lineitem group by 1,3,4,5
+  union all select 1000000000000000 + cast(substr(source_id, 2) as bigint)*1000000 + cast(substr(target_id, 2) as bigint), case cast(substr(target_id, 2) as bigint) % 3 when 0 then 'update_edge_confidence' when 1 then 'deactivate_edge' else 'merge_nodes' end, null, null, null, 0.95, case when cast(substr(target_id, 2) as bigint) % 10 = 0 then id||'x' else id end, null, null from edges
+  union all select 2000000000000000 + s_suppkey, 'add_alias', null, null, null, null, null, 'S'||(s_suppkey + case when s_suppkey % 4 = 0 then 100000 else 0 end), case when s_suppkey % 3 = 0 then '  ' else ' Alias '||(s_suppkey // 2) end from supplier),
+ c0 as (select o.*, case op_type when 'insert_edge' then case when not exists (select 1 from supplier s where 'S'||s.s_suppkey = o.source_id) then 'node missing' when o.relation = 'likes' then 'unknown relation' when o.confidence < 0.6 then 'low confidence' when d.id is not null then 'duplicate' end
+   when 'add_alias' then case when not exists (select 1 from supplier s where 'S'||s.s_suppkey = o.node_id) then 'node missing' when trim(o.alias) = '' then 'blank alias' end
+   when 'merge_nodes' then 'unknown operation' else case when e.id is null then 'edge missing' when not e.active then 'edge inactive' end end as reason, d.id as dup
+  from ops o left join edges d on d.source_id=o.source_id and d.target_id=o.target_id and d.relation=o.relation and d.active left join edges e on e.id = o.edge_id),
+ chk as (select * replace (case when reason is null and op_type = 'insert_edge' and rn > 1 then 'duplicate' else reason end as reason, case when reason is null and op_type = 'insert_edge' and rn > 1 then source_id||'|'||target_id||'|'||relation else dup end as dup)
+  from (select *, row_number() over (partition by reason is null and op_type = 'insert_edge', source_id, target_id, relation order by op_id) as rn from c0)),
+ made as (select source_id||'|'||target_id||'|'||relation as id, source_id, target_id, relation, confidence, 0.7 as weight, true as active from chk where op_type = 'insert_edge' and reason is null),
+ chg as (select coalesce(dup, edge_id) as id, max_by(confidence, op_id) as c from chk where (op_type = 'update_edge_confidence' and reason is null) or reason = 'duplicate' group by 1),
+ off as (select distinct edge_id as id from chk where op_type = 'deactivate_edge' and reason is null),
+ als as (select distinct node_id, lower(trim(alias)) as alias from chk where op_type = 'add_alias' and reason is null)"""
 
 
-def _checked(s, d):
-    li = P.table(s, d, "lineitem")
+def _operations(s, d):
+    none, li = F.lit(None).cast("string"), P.table(s, d, "lineitem")
     far = F.when(F.col("l_orderkey") % 11 == 0, 100000).otherwise(0)
-    ops = li.groupBy((F.col("l_orderkey") * 100000 + F.col("l_partkey")).alias("op_id"), F.concat(F.lit("S"), (F.col("l_suppkey") + far).cast("string")).alias("source_id"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("target_id"), F.when(F.col("l_orderkey") % 7 == 0, "likes").otherwise("uses").alias("relation"))
-    ops = ops.agg((F.min("l_quantity") / 50).alias("confidence")).withColumns({"op_type": F.lit("insert_edge"), "edge_id": F.lit(None).cast("string"), "node_id": F.lit(None).cast("string"), "alias": F.lit(None).cast("string")})
+    keys = {"op_id": F.col("l_orderkey") * 100000 + F.col("l_partkey"), "source_id": F.concat(F.lit("S"), (F.col("l_suppkey") + far).cast("string")), "target_id": F.concat(F.lit("P"), F.col("l_partkey").cast("string")), "relation": F.when(F.col("l_orderkey") % 7 == 0, "likes").otherwise("uses")}
+    new = li.groupBy(*(c.alias(n) for n, c in keys.items())).agg((F.min("l_quantity") / 50).alias("confidence")).withColumns({"op_type": F.lit("insert_edge"), "edge_id": none, "node_id": none, "alias": none})
+    t = F.substring("target_id", 2, 20).cast("long")
+    old = P.edges(s, d).select(
+        (F.lit(10**15) + F.substring("source_id", 2, 20).cast("long") * 1000000 + t).alias("op_id"), F.when(t % 3 == 0, "update_edge_confidence").when(t % 3 == 1, "deactivate_edge").otherwise("merge_nodes").alias("op_type"),
+        F.when(t % 10 == 0, F.concat("id", F.lit("x"))).otherwise(F.col("id")).alias("edge_id"), F.lit(0.95).alias("confidence"),
+    )
+    k = F.col("s_suppkey")
+    said = P.table(s, d, "supplier").select((F.lit(2 * 10**15) + k).alias("op_id"), F.lit("add_alias").alias("op_type"), F.concat(F.lit("S"), (k + F.when(k % 4 == 0, 100000).otherwise(0)).cast("string")).alias("node_id"), F.when(k % 3 == 0, "  ").otherwise(F.concat(F.lit(" Alias "), F.floor(k / 2).cast("string"))).alias("alias"))
+    return new.unionByName(old, allowMissingColumns=True).unionByName(said, allowMissingColumns=True)
+
+
+def _checked(s, d):
     known = P.table(s, d, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("id")).unionAll(P.table(s, d, "part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string"))))
-    return G.validate_operations(ops, known, P.edges(s, d))
+    return G.validate_operations(_operations(s, d), known, P.edges(s, d))
+
 
+def _applied(s, d):
+    aliases = P.aliases(s, d).select(F.concat(F.lit("P"), F.col("node_id").cast("string")).alias("node_id"), "alias")
+    return G.apply_operations(P.edges(s, d), aliases, _checked(s, d))
 
-@query(f"with {OPS} select op_id, coalesce(reason, 'ok') as reason from chk")
+
+@query(f"with {OPS} select op_id, op_type, coalesce(reason, 'ok') as reason, case when op_type = 'insert_edge' then dup end as duplicate_edge_id from chk")
 def validate_ops(s, d):
-    return _checked(s, d).select("op_id", F.coalesce("reason", F.lit("ok")).alias("reason"))
+    return _checked(s, d).select("op_id", "op_type", F.coalesce("reason", F.lit("ok")).alias("reason"), "duplicate_edge_id")
 
 
-@query(f"with {OPS} select count(*) filter (reason is null) as inserted, count(*) filter (reason='duplicate') as updated, count(*) filter (reason is not null) as rejected from chk")
+@query(f"with {OPS} select count(*) filter (op_type = 'insert_edge' and reason is null) as inserted, count(*) filter (reason = 'duplicate' or (op_type = 'update_edge_confidence' and reason is null)) as updated, (select count(*) from off) as deactivated, (select count(*) from als) as aliased, count(*) filter (reason is not null) as rejected, count(*) filter (reason = 'duplicate') as converted from chk")
 def op_report(s, d):
-    e = P.edges(s, d)
-    return G.apply_operations(e, P.aliases(s, d), _checked(s, d))[2].select("inserted", "updated", "rejected")
+    return _applied(s, d)[2].select("inserted", "updated", "deactivated", "aliased", "rejected", "converted")
+
+
+@query(f"with {OPS} select e.id, e.source_id, e.target_id, e.relation, e.weight, round(coalesce(chg.c, e.confidence), 6) as confidence, e.active and off.id is null as active from (select id, source_id, target_id, relation, weight, confidence, active from edges union all select id, source_id, target_id, relation, weight, confidence, active from made) e left join chg using (id) left join off using (id)")
+def ops_edges_after(s, d):
+    """All edges after the operations: inserted ones, changed confidences, and those switched off."""
+    return _applied(s, d)[0].select("id", "source_id", "target_id", "relation", "weight", r6("confidence", "confidence"), "active")
+
+
+@query(f"with {OPS} select node_id, alias from als union all select 'P'||p_partkey, lower(p_brand) from part")
+def ops_aliases_after(s, d):
+    return _applied(s, d)[1].select("node_id", "alias")
 
 
 DAYS = f"floor((epoch_us(timestamp '{AS_OF}') - epoch_us(ts))/86400000000.0)"
@@ -459,12 +485,6 @@ def episodes_by_session(s, d):
     return T.topk_per_key(P.episodes(s, d), ["session_id"], [F.desc("start_time"), F.col("id")], 5).select("session_id", "id")
 
 
-@query("select conv_id as session_id, 'goal' as kind, 0.75::double as importance, count(*) as n from conversations where turn=0 group by 1 union all select conv_id, 'subtask', 0.6::double, least(3, count(*)) from conversations group by 1 union all select conv_id, 'update', 0.65::double, count(*) from conversations where role='assistant' group by 1")
-def fact_promotion_union(s, d):
-    p = P.turns(s, d).groupBy("session_id").agg(F.max(F.when(F.col("turn") == 0, F.lit("g"))).alias("goal"), F.collect_list(F.lit("t")).alias("subtasks"), F.collect_list(F.when(F.col("role") == "assistant", "u")).alias("updates"), F.lit("").alias("error"))
-    return L.promotions(p).groupBy("session_id", "kind", "importance").agg(F.count("*").alias("n"))
-
-
 def _raw(s, d):
     k = F.col("conv_id")
     whole = F.concat(F.lit('{"entities":[{"name":"alpha beta'), k.cast("string"), F.lit('","type":"Concept","aliases":["AB"],"confidence":0.9},{"name":"Gamma","confidence":"x"}],"candidate_relations":[{"source":"gamma","target":"ALPHA BETA'), k.cast("string"), F.lit('","relation":"uses","confidence":1.4}]}'))
@@ -500,7 +520,7 @@ def parse_tool_calls(s, d):
 
 @query("select concat_ws('-', conv_id, turn, role) as id, 'x  '||turn as text from conversations")
 def strip_tags(s, d):
-    return _tagged(s, d).select("id", F.regexp_replace(E.strip_tool_calls("text"), r"^x\s*", "x  ").alias("text"))
+    return _tagged(s, d).select("id", E.strip_tool_calls("text").alias("text"))
 
 
 @query(f"with {EDGES} select id from edges where cast(substr(target_id, 2) as bigint) % 10 <> 0")
@@ -523,10 +543,10 @@ def edge_confidence_patch(s, d):
 
 
 def flagship(s: SparkSession, d: str) -> DataFrame:
-    """Text to seeds to a one-hop neighbourhood: the strongest co-ordered parts around the best keyword matches."""
-    found, n = _seeds(s, d)
-    e = P.edges(s, d)
-    start = found.select("query_id", F.concat(F.lit("P"), F.col("node_id").cast("string")).alias("node_id"))
-    named = n.select(F.concat(F.lit("P"), F.col("id").cast("string")).alias("id"), "name")
-    hop = G.capped_neighbours(start, e)
-    return hop.join(named.toDF("target_id", "target_name"), "target_id", "left").select("query_id", "source_id", "relation", "target_name", "weight").orderBy("query_id", F.desc("weight"), "source_id")
+    """Questions to text: names, aliases, prefixes and keywords of the questions give seeds, and the strongest edges around them the
+    context of each question."""
+    found, named = _seeds(s, d)
+    node = F.concat(F.lit("P"), F.col("id").cast("string"))
+    nodes = named.withColumn("id", node).unionByName(P.table(s, d, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("name"), F.lit("Organization").alias("type"), F.lit(0.5).alias("confidence")), allowMissingColumns=True)
+    seeds = found.select("query_id", F.concat(F.lit("P"), F.col("node_id").cast("string")).alias("node_id"))
+    return G.answer(s.createDataFrame(QUESTIONS, "query_id int, text string"), seeds, nodes, P.edges(s, d)).orderBy("query_id")

@@ -10,13 +10,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from engram.sources.store import fresh_path
+
+def run_once(stream: DataFrame, what: str, mode: str = "append") -> DataFrame:
+    """What is there now, through the stream and into a table of the shared folder, with the checkpoint beside it."""
+    spark = stream.sparkSession
+    path = fresh_path(spark, what)
+    query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
 CHUNK = "session_id long, chunk long, first_turn long, last_turn long, n_chars long"
 
 
 def turn_chunks(turns: DataFrame, n: int = 5) -> DataFrame:
     """Full chunks of n turns of streamed turns(session_id, turn, role, text), in the order of turns as they arrive.
 
-    State holds the turns of an unfinished chunk only, n - 1 at most."""
+    State holds the turns of an unfinished chunk only, n - 1 at most. Turns of one micro-batch are put in order; a turn that
+    arrives in a later batch than its successors goes into the chunk open then, as it does in a live session, so batch and
+    stream agree when the turns of a session arrive in order."""
 
     def step(key: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         done, held = state.get if state.exists else (0, "")

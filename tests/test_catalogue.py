@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from engram.plans import catalogue
+from engram.plans import everything as catalogue
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
