@@ -131,7 +131,7 @@ def store_in_order(store: DataFrame, new: DataFrame, near: float = 0.08, paraphr
         held = [{**r, "created": False} for r in old.sort_values("id").to_dict("records")]
         unit = lambda v: np.asarray(v, float) / (np.linalg.norm(v) or 1.0)
         vectors = [unit(r["embedding"]) for r in held]
-        for r in added.sort_values(["seq", "id"]).to_dict("records"):
+        for r in added.rename(columns=lambda c: c.removeprefix("n_")).sort_values(["seq", "id"]).to_dict("records"):
             if not (r["text"] or "").strip():
                 continue
             if len(held) > cap:
@@ -159,8 +159,9 @@ def store_in_order(store: DataFrame, new: DataFrame, near: float = 0.08, paraphr
 
     vector = F.col("embedding").cast("array<double>").alias("embedding")
     a = store.select("owner", F.col("id").cast("string").alias("id"), "text", vector, "importance", "category", "polarity", F.col("access_count").cast("long").alias("access_count"))
-    b = new.select("owner", "seq", F.col("id").cast("string").alias("id"), "text", vector, "importance", "category", "polarity")
-    return a.groupBy("owner").cogroup(b.groupBy("owner")).applyInPandas(run, FACTS)
+    # other names than the store's: both sides may come from one table
+    b = new.select(F.col("owner").alias("n_owner"), F.col("seq").alias("n_seq"), F.col("id").cast("string").alias("n_id"), F.col("text").alias("n_text"), vector.alias("n_embedding"), *(F.col(c).alias(f"n_{c}") for c in ("importance", "category", "polarity")))
+    return a.groupBy("owner").cogroup(b.groupBy("n_owner")).applyInPandas(run, FACTS)
 
 
 def near_memories(store: DataFrame, asked: DataFrame, threshold: float = 0.08) -> DataFrame:
