@@ -101,7 +101,7 @@ def words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hashes of words, computed once per word; emptied when it holds too many."""
 
-    LIMIT = 1 << 19
+    LIMIT = 1 << 17  # some 30 MB
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.LIMIT:

@@ -213,7 +213,7 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     if not files:
         return spark.createDataFrame([], RESULT)
     todo = spark.createDataFrame(list(enumerate(files)), "block long, path string").repartition(len(files), "block")
-    buckets = min(4096, 4 * max(8, len(files), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    buckets = 4 * max(8, len(files), int(spark.conf.get("spark.sql.shuffle.partitions")))  # grows with the input: a bucket's bytes don't
     each = lambda batches: ((b, p) for x in batches for b, p in zip(*(x.column(c).to_pylist() for c in ("block", "path"))))
 
     def anchors(batches):

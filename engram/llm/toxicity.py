@@ -23,6 +23,7 @@ from engram.llm.common import WordHashes, mixed
 BITS = 20
 MOST_ROWS = 12_000
 EPOCHS = 4
+SLICE = 256  # texts held as Python strings at a time
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.0
 
 #: A-Z in lower case, ASCII that is no letter or digit as space.
@@ -128,7 +129,8 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], columns: list[
         for b in batches:
             row = b.column("row")
             texts = row.field("text") if "text" in columns else b.column("text")
-            yield pa.RecordBatch.from_arrays([row, pa.array(scores(texts.to_pylist(), dense, hashes), pa.float64())], names=["row", "score"])
+            got = [scores(texts.slice(i, SLICE).to_pylist(), dense, hashes) for i in range(0, len(texts), SLICE)]
+            yield pa.RecordBatch.from_arrays([row, pa.array(np.concatenate(got) if got else [], pa.float64())], names=["row", "score"])
 
     return rows.mapInArrow(run, schema)
 
