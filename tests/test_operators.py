@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from engram.functions import exprs as E
 from engram.operators import tables as T
 from engram.operators import vector as V
+from engram.plans import registry, tools
 from engram.sources import store
+from engram.streaming import turns
 
 
 def one(spark, column):
@@ -29,8 +31,10 @@ def one(spark, column):
         (lambda: E.strip_reasoning(F.lit("<think>x\ny</think> ok")), "ok"),
         (lambda: E.strip_fences(F.lit("```json\n{}\n```")), "{}"),
         (lambda: E.repaired_json(F.lit('{"a":[{"b":1},{"c')), '{"a":[{"b":1}]}'),
-        (lambda: E.subtask_list(F.lit("1. one 2. two")), ["one", "two"]),
+        (lambda: E.subtask_list(F.lit("1. one. 2. two")), ["one", "two"]),
+        (lambda: E.subtask_list(F.lit(" just one. ")), ["just one."]),
         (lambda: E.schema_type(F.lit("int, the count")), "integer"),
+        (lambda: E.clamp(F.lit(None).cast("double")), None),
         (lambda: E.reflection_days(F.lit("User"), F.lit("general"), F.lit(0.39), F.lit(True), F.lit(True)), 7),
         (lambda: E.reflection_days(F.lit("user"), F.lit("narrow"), F.lit(0.4), F.lit(False), F.lit(False)), 7),
     ],
@@ -71,3 +75,76 @@ def test_versions(spark, tmp_path):
     store.publish(spark.range(5), root)
     assert store.versions(spark, root) == [0, 1]
     assert (store.read(spark, root).count(), store.read(spark, root, 0).count()) == (5, 2)
+
+
+def letters(text):
+    return [float(text.lower().count(c)) + 0.01 for c in "abcdefghijklmnopqrstuvwxyz"]
+
+
+@pytest.fixture
+def memory(spark):
+    fact = lambda i, text: (1, f"m{i}", text, letters(text), 0.5, "other", "neutral", 0)
+    facts = spark.createDataFrame([fact(1, "the cat likes milk"), fact(2, "a zebra jumps quickly over fences")], "owner long, id string, text string, embedding array<double>, importance double, category string, polarity string, access_count long")
+    day = lambda n: dt.datetime(2024, 1, n)
+    episodes = spark.createDataFrame([("e1", 7, "Milk", "talk of cats", day(1), ["m1", "gone"], letters("cats and milk")), ("e2", 8, "", "talk of zebras", day(9), [], letters("zebra quick jump"))], "id string, session_id long, title string, summary string, start_time timestamp_ntz, related_semantic_memory_ids array<string>, embedding array<double>")
+    nodes = spark.createDataFrame([("n1", "Zebra", "Concept", "animal", 0.5, 0.9, 0, 0), ("n2", "Fence", "Concept", "", 0.5, 0.625, 0, 0)], "id string, name string, type string, heading string, importance double, confidence double, access_count int, traversal_count int")
+    aliases = spark.createDataFrame([("n2", "barrier")], "node_id string, alias string")
+    edges = spark.createDataFrame([("x", "n1", "n2", "uses", 0.5, 0.7, True)], "id string, source_id string, target_id string, relation string, confidence double, weight double, active boolean")
+    log = spark.createDataFrame([], "session_id long, seq long, op string, key string, value string")
+    return tools.Memory(spark, facts, episodes, nodes, aliases, edges, log, "2024-01-10 00:00:00", letters)
+
+
+def test_tools_by_name(memory):
+    assert len(tools.TOOLS) == 10 and set(registry.names()) >= {t.__name__ for t in tools.TOOLS}
+    assert tools.run_call(memory, "nothing", {})[1] == "Unknown tool: nothing"
+    assert tools.run_call(memory, "query_knowledge_graph", {})[1] == "Failed to call query_knowledge_graph."
+    m, said = tools.run_call(memory, "query_knowledge_graph", {"query": "which zebra is behind the barrier", "other": 1})
+    assert "Zebra (n1) type=Concept conf=0.90" in said and "Fence (n2) type=Concept conf=0.63" in said and "[x]  Zebra (n1) --uses--> Fence (n2)  conf=0.50" in said
+    assert tools.run_call(m, "query_knowledge_graph", {"query": "  "})[1].startswith("No relevant")
+    m, said = tools.run_call(m, "store_semantic_memory", {"text": "the cat likes milk", "importance": 0.9})
+    assert said == "Done." and {r.id: (r.importance, r.access_count) for r in m.facts.collect()} == {"m1": (0.9, 1), "m2": (0.5, 0)}
+    m, _ = tools.run_call(m, "store_semantic_memory", {"text": "the cat never likes milk", "importance": 0.9})
+    assert m.facts.count() == 3
+
+
+def test_tools_search_and_scratchpad(memory):
+    call = '<tool_call>{"tool": "search_semantic_memory", "arguments": {"query": "cat milk", "k": 1}}</tool_call>'
+    m, out = tools.execute(memory, "first " + call, [{"id": "c1", "function": {"name": "search_episodic_memory", "arguments": '{"query": "cats milk", "k": 1}'}}, {"id": "c2", "function": {"name": "browse_episodic_memory", "arguments": "{broken"}}])
+    assert out["c1"] == "Episode: Milk\n  When: 2024-01-01\n  Summary: talk of cats\n  Related facts:\n    - the cat likes milk"
+    assert out["c2"].startswith("Episode: (untitled)\n  When: 2024-01-09")
+    kept = m.state().select("state.outputs").first().outputs
+    assert [o.name for o in kept] == ["search_semantic_memory", "search_episodic_memory", "browse_episodic_memory"] and kept[0].output == "1. [other] the cat likes milk (importance: 0.5)"
+    m, _ = tools.run_call(m, "update_scratchpad_state", {"section": "planning", "key": "subtasks", "value": "1. a 2. b"})
+    assert m.state().select("state.subtasks").first().subtasks == ["a", "b"]
+    with pytest.raises(ValueError):
+        tools.run_call(m, "update_scratchpad_state", {"section": "planning", "key": "mood", "value": "x"})
+    m, _ = tools.run_call(m, "add_scratchpad_memory_update", {"memory_type": "note", "data": "d"})
+    assert '"note<insert>:d"' in tools.run_call(m, "get_scratchpad_state", {})[1]
+
+
+def test_streamed_sessions_and_micro_batches(spark, tmp_path):
+    at = lambda h, m: dt.datetime(2024, 1, 1, h, m)
+    rows = [(1, at(0, 0)), (1, at(0, 10)), (1, at(2, 0)), (2, at(0, 5)), (3, at(9, 0))]
+    schema = "session_id long, ts timestamp"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    got = {(r.session_id, r.n_turns) for r in turns.run_once(turns.session_activity(stream), "activity").collect()}
+    assert got == {(1, 2), (1, 1), (2, 1)}  # the last session is still open
+    seen = []
+    turns.micro_batches(stream, lambda df, i: seen.append((i, df.count())), 1, f"{tmp_path}/state").processAllAvailable()
+    for q in spark.streams.active:
+        q.stop()
+    assert seen == [(0, 5)]
+
+
+def test_many_queries_go_in_parts(spark, monkeypatch):
+    store_ = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(30)], "id long, embedding array<double>")
+    asked = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(9)], "query_id long, q array<double>")
+    whole = sorted((r.query_id, r.id, r.distance) for r in V.knn(store_, asked, 2).collect())
+    monkeypatch.setattr(V, "BROADCAST_QUERIES", 4)
+    assert sorted((r.query_id, r.id, r.distance) for r in V.knn(store_, asked, 2).collect()) == whole and len(whole) == 18
+
+
+def test_registry_drops_what_a_function_does_not_take():
+    registry.register("double", lambda x: 2 * x)
+    assert registry.call("double", x=2, y=3) == 4
