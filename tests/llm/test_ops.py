@@ -164,6 +164,26 @@ def test_minimax_is_smallest():
     assert sharding.greedy(sizes, 17, 2) is None
 
 
+def test_minimax_matches_every_partition():
+    from itertools import combinations
+
+    rng = random.Random(9)
+    for _ in range(60):
+        sizes = [rng.randint(0, 9) for _ in range(rng.randint(1, 8))]
+        shards = rng.randint(1, 5)
+        cuts = [c for k in range(min(shards, len(sizes))) for c in combinations(range(1, len(sizes)), k)]
+        best = min(max(sum(sizes[a:b]) for a, b in zip((0, *c), (*c, len(sizes)))) for c in cuts)
+        capacity, starts = sharding.minimax_cuts(np.array(sizes), shards)
+        assert capacity == best and len(starts) <= shards
+        assert max(sum(sizes[a:b]) for a, b in zip(starts, [*starts[1:], len(sizes)])) == best
+
+
+def test_shards_are_near_equal(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.col("id").cast("string"), F.lit(" ")), (F.col("id") % 7).cast("int")).alias("text"))
+    sizes = [r.size for r in sharding.shard(docs, 40).groupBy("shard").agg(F.sum("size").alias("size")).collect()]
+    assert len(sizes) == 40 and max(sizes) < 1.01 * sum(sizes) / 40 and min(sizes) > 0.6 * sum(sizes) / 40
+
+
 def test_mix(docs, empty):
     rows = mix(docs, shards=4).collect()
     assert len(rows) == docs.count()
