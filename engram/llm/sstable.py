@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from engram.llm.common import cut, filesystem, fresh_path
+from engram.llm.common import cut, filesystem, fresh_path, owned
 
 FOOTER = struct.Struct("<QQQIQQBQ8s")  # index offset, bloom offset, bloom bytes, blocks, documents, ids, id width, first row, magic
 MAGIC = b"ENGRSST1"
@@ -302,6 +302,10 @@ def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
 
 
 def encode_and_store(docs: DataFrame, vocabulary: str, folder: str | None = None) -> DataFrame:
-    """Writes the shards and reads them back."""
+    """Writes the shards and reads them back; a folder that isn't named goes with the driver's JVM."""
     spark = docs.sparkSession
-    return read_shards(spark, write_shards(docs, folder or fresh_path(spark, "shards"), vocabulary))
+    named, folder = folder, folder or fresh_path(spark, "shards")
+    manifest = write_shards(docs, folder, vocabulary)
+    if not named:
+        owned(spark, folder)
+    return read_shards(spark, manifest)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import BIG_ID, cut, drop, filesystem, fresh_path
+from engram.llm.common import BIG_ID, cut, drop, filesystem, fresh_path, owned
 
 FAN_IN, PIECE, SAMPLES = 64, 2000, 64
 ARCHIVE_BYTES = 1 << 26
@@ -293,6 +293,8 @@ def archive_and_index(pages: DataFrame, least_bytes: int = 0, folder: str | None
     with the smallest page_id is the response; rows that repeat that page_id are responses too, and rows without an id
     are revisits if any row of the group has one. Other columns are ignored; an empty table gives no rows."""
     spark = pages.sparkSession
-    folder = folder or fresh_path(spark, "warc")
+    named, folder = folder, folder or fresh_path(spark, "warc")
     runs = index_runs(write_archives(pages, folder, least_bytes), f"{folder}/runs")
+    if not named:
+        owned(spark, folder)
     return merge_runs(runs, f"{folder}/runs", max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
