@@ -130,7 +130,9 @@ def store_in_order(store: DataFrame, new: DataFrame, near: float = 0.08, paraphr
     def run(key: tuple, old: pd.DataFrame, added: pd.DataFrame) -> pd.DataFrame:
         held = [{**r, "created": False} for r in old.sort_values("id").to_dict("records")]
         unit = lambda v: np.asarray(v, float) / (np.linalg.norm(v) or 1.0)
-        vectors = [unit(r["embedding"]) for r in held]
+        vectors = np.zeros((len(held) + 1, len(held[0]["embedding"]) if held else 0))
+        for i, h in enumerate(held):
+            vectors[i] = unit(h["embedding"])
         for r in added.rename(columns=lambda c: c.removeprefix("n_")).sort_values(["seq", "id"]).to_dict("records"):
             if not (r["text"] or "").strip():
                 continue
@@ -139,11 +141,11 @@ def store_in_order(store: DataFrame, new: DataFrame, near: float = 0.08, paraphr
                 if len(alive) > cap:
                     best = sorted(alive, key=lambda i: (-round(0.7 * held[i]["importance"] + 0.03 * min(held[i]["access_count"], 10), 6), held[i]["id"]))
                     alive = sorted(best[:target])
-                held, vectors = [held[i] for i in alive], [vectors[i] for i in alive]
+                vectors[: len(alive)], held = vectors[alive], [held[i] for i in alive]
             v, h, distance = unit(r["embedding"]), None, np.inf
             if held:
-                d = np.round(1 - np.stack(vectors) @ v, 6)
-                at = int(np.lexsort(([x["id"] for x in held], d))[0])
+                d = np.round(1 - vectors[: len(held)] @ v, 6)
+                at = min(np.flatnonzero(d == d.min()), key=lambda i: held[i]["id"])
                 h, distance = held[at], d[at]
             if distance <= near:
                 h["access_count"], h["importance"] = h["access_count"] + 1, max(h["importance"], r["importance"])
@@ -154,7 +156,9 @@ def store_in_order(store: DataFrame, new: DataFrame, near: float = 0.08, paraphr
                     h["access_count"] += 1
             else:
                 held.append({"owner": key[0], **{c: r[c] for c in ("id", "text", "embedding", "importance", "category", "polarity")}, "access_count": 0, "created": True})
-                vectors.append(v)
+                if len(held) > len(vectors) or not vectors.shape[1]:  # twice the room when it is full
+                    vectors = np.concatenate([vectors.reshape(-1, len(v)), np.zeros((max(64, len(vectors)), len(v)))])
+                vectors[len(held) - 1] = v
         return pd.DataFrame(held, columns=[x.split()[0] for x in FACTS.split(", ")])
 
     vector = F.col("embedding").cast("array<double>").alias("embedding")

@@ -1,13 +1,18 @@
 """Operators on small tables with results worked out by hand."""
 
 import datetime as dt
+import math
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from engram.functions import exprs as E
 from engram.operators import tables as T
 from engram.operators import vector as V
+from engram.plans import everything as catalogue
+from engram.plans import memory_queries as M
 from engram.plans import registry, tools
 from engram.sources import store
 from engram.streaming import turns
@@ -148,3 +153,25 @@ def test_many_queries_go_in_parts(spark, monkeypatch):
 def test_registry_drops_what_a_function_does_not_take():
     registry.register("double", lambda x: 2 * x)
     assert registry.call("double", x=2, y=3) == 4
+
+
+def test_facts_stored_after_the_chain_of_near_ones_is_cut(spark, tmp_path):
+    """Ids in the order of numbers (9 before 10), and a fact near one that is itself left out."""
+    turn = lambda a: [math.cos(a), math.sin(a), 0.0]
+    rows = [(9, turn(0.0), 1), (10, turn(0.0), 1), (11, turn(0.8), 1), (12, turn(1.6), 1), (13, turn(0.0), 2), (14, [0.0, 0.0, 1.0], 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(map(tuple, M.facts_store_in_order(spark, str(tmp_path)).select("id", "importance", "access_count").collect()))
+    duck = duckdb.connect()
+    duck.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = [(i, float(x), n) for i, x, n in sorted(duck.execute(f"select id, importance, access_count from ({catalogue.ORACLE['facts_store_in_order']})").fetchall())]
+    assert got == want and [r[0] for r in got] == [9, 13, 14]
+
+
+def test_pairs_of_a_group_meet_in_any_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(60, 4))
+    rows = spark.createDataFrame([(i, v[i].tolist(), i % 2) for i in range(60)] + [(60, [0.0] * 4, 0)], "id long, embedding array<double>, g int")
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    want = [i for i in range(60) if not any(1 - u[i] @ u[j] <= 0.3 for j in range(i % 2, i, 2))] + [60]
+    monkeypatch.setattr(V, "BLOCK_ROWS", 7)
+    assert sorted(r.id for r in V.without_earlier(rows, 0.3, "g").collect()) == want
