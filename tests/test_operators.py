@@ -191,3 +191,9 @@ def test_subgraph_lists_each_start_of_one_id(twice):
     found, around = G.subgraph(*twice)
     assert sorted(map(tuple, found.select("node_id", "hop").collect())) == [("a", 0), ("a", 0), ("b", 1)]
     assert [r.id for r in around.collect()] == ["e"]
+
+
+def test_answer_has_a_line_for_each_start_of_one_id(spark, twice):
+    start, nodes, edges = twice
+    text = G.answer(spark.createDataFrame([(1, "?")], "query_id int, text string"), start, nodes, edges).collect()[0].text
+    assert [text.count(x) for x in ("  ring (a) type", "  hot plate (a) type", "  ring (a) --uses--> bolt (b)", "  hot plate (a) --uses--> bolt (b)")] == [2, 2, 2, 2]
