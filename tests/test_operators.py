@@ -197,3 +197,18 @@ def test_answer_has_a_line_for_each_start_of_one_id(spark, twice):
     start, nodes, edges = twice
     text = G.answer(spark.createDataFrame([(1, "?")], "query_id int, text string"), start, nodes, edges).collect()[0].text
     assert [text.count(x) for x in ("  ring (a) type", "  hot plate (a) type", "  ring (a) --uses--> bolt (b)", "  hot plate (a) --uses--> bolt (b)")] == [2, 2, 2, 2]
+
+
+def test_nearest_among_copies_odd_vectors_and_uneven_lengths(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = np.round(rng.normal(size=(40, 3)), 1)
+    v = np.concatenate([v, v, v[:10] * 2])
+    rows = [(f"r{i}", v[i].tolist(), i % 3) for i in range(90)] + [("short", [1.0, 1.0], 0), ("none", None, 0), ("zero", [0.0] * 3, 0), ("hole", [1.0, None, 1.0], 0)]
+    store_ = spark.createDataFrame(rows, "id string, embedding array<float>, label int")
+    asked = spark.createDataFrame([(i, v[i].tolist()) for i in range(30)] + [(99, [0.0] * 3), (98, [1.0, 0.0])], "query_id int, q array<double>")
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    want = {(q, i, d) for q in range(30) for d, i in sorted((abs(round(1 - float(u[q] @ u[i]), 6)), f"r{i}") for i in range(90) if i % 3 < 2)[:4]} | {(98, "short", 0.292893)}
+    monkeypatch.setattr(V, "QUERIES_AT_ONCE", 7)
+    got = V.knn(store_, asked, 4, where=F.col("label") < 2)
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()
+    assert {(r.query_id, r.id, round(r.distance, 5)) for r in got.collect()} == {(q, i, round(d, 5)) for q, i, d in want}
