@@ -3,6 +3,9 @@
 from pyspark.sql import functions as F
 
 from engram.operators import graph as G
+from engram.sources import proxies as P
+
+DATA = "/root/testdata/sf0.001"
 
 
 def test_operations_with_null_keys_go_to_many_tasks(spark):
@@ -16,3 +19,7 @@ def test_operations_with_null_keys_go_to_many_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sum(held) == 4000 and max(held) < 2000
+
+
+def test_edges_are_dealt_before_they_are_summed(spark):
+    assert "REPARTITION_BY_COL" in P.edges(spark, DATA)._jdf.queryExecution().executedPlan().toString()
