@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from engram.functions.exprs import NEGATIONS
 from engram.operators.tables import delete, insert_new, patch, predicate, topk, topk_per_key
 from engram.operators.vector import knn
+from engram.sources.store import settled
 
 FURTHEST, FACTS_PER_EPISODE = 0.5, 5
 NO_FACTS, NO_SESSIONS, NO_EPISODES = "No relevant long-term memories found.", "No relevant past sessions found.", "No matching episodes found."
@@ -73,6 +74,7 @@ def with_facts(episodes: DataFrame, facts: DataFrame) -> DataFrame:
 
 def episodes_text(hits: DataFrame, facts: DataFrame, queries: DataFrame, nothing: str = NO_SESSIONS) -> DataFrame:
     """(query_id, text): blocks of the hits(query_id, rank, id, ...) in order, a blank line apart, or a fixed text."""
+    hits = settled(hits.select("query_id", "rank", "id", "title", "summary", "start_time", "related_semantic_memory_ids"), "hits")  # read twice, searched once
     blocks = with_facts(hits.drop("query_id", "rank").dropDuplicates(["id"]), facts).select("id", "block")
     rows = hits.select("query_id", "rank", "id").join(blocks, "id").groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]), "\n\n").alias("text"))
     return queries.select("query_id").join(rows, "query_id", "left").select("query_id", F.coalesce("text", F.lit(nothing)).alias("text"))
@@ -103,7 +105,9 @@ def context(queries: DataFrame, pads: DataFrame, facts_texts: DataFrame) -> Data
 def semantic_nodes(fact_hits: DataFrame, episode_hits: DataFrame, links: DataFrame) -> DataFrame:
     """(query_id, node_id, place): nodes linked to the facts found, then to the episodes found, each once where it is first."""
     hits = fact_hits.select("query_id", F.lit(0).alias("kind"), "rank", F.col("id").cast("string").alias("memory_id")).unionByName(episode_hits.select("query_id", F.lit(1).alias("kind"), "rank", F.col("id").cast("string").alias("memory_id")))
-    linked = hits.join(links.select(F.col("memory_id").cast("string").alias("memory_id"), "node_id", "relevance"), "memory_id")
+    hits = settled(hits, "hits")  # few rows: only their links are looked at
+    own = links.select(F.col("memory_id").cast("string").alias("memory_id"), "node_id", "relevance").join(hits.select("memory_id"), "memory_id", "left_semi")
+    linked = hits.join(own, "memory_id")
     first = linked.groupBy("query_id", "node_id").agg(F.min(F.struct("kind", "rank", (-F.col("relevance")).alias("r"))).alias("at"))
     return first.select("query_id", "node_id", F.row_number().over(Window.partitionBy("query_id").orderBy("at", "node_id")).alias("place"))
 

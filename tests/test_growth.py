@@ -1,11 +1,23 @@
 """Shapes of plans and spread of rows, where a larger input would meet the limits of one task."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from engram.operators import graph as G
+from engram.operators import vector as V
+from engram.plans import everything as catalogue
 from engram.sources import proxies as P
 
 DATA = "/root/testdata/sf0.001"
+SEARCHES = ["episodes_context"]
+
+
+@pytest.mark.parametrize("name", SEARCHES)
+def test_searches_are_no_nested_loop_and_deal_the_store(spark, name, monkeypatch):
+    seen, best = [], V.topk_per_key
+    monkeypatch.setattr(V, "topk_per_key", lambda df, *a: seen.append(df._jdf.queryExecution().analyzed().toString()) or best(df, *a))
+    catalogue.QUERIES[name](spark, DATA)
+    assert seen and all("MapInArrow" in plan and "RepartitionByExpression" in plan for plan in seen)
 
 
 def test_operations_with_null_keys_go_to_many_tasks(spark):
