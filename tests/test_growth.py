@@ -9,7 +9,7 @@ from engram.plans import everything as catalogue
 from engram.sources import proxies as P
 
 DATA = "/root/testdata/sf0.001"
-SEARCHES = ["episodes_context", "semantic_nodes"]
+SEARCHES = ["episodes_context", "semantic_nodes", "semantic_node_hits"]
 
 
 @pytest.mark.parametrize("name", SEARCHES)
