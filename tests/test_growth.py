@@ -9,7 +9,7 @@ from engram.plans import everything as catalogue
 from engram.sources import proxies as P
 
 DATA = "/root/testdata/sf0.001"
-SEARCHES = ["episodes_context", "semantic_nodes", "semantic_node_hits", "episodes_browse", "episodes_search", "facts_search_bump", "near_duplicate_classify", "facts_search_text", "facts_text", "facts_find_duplicate"]
+SEARCHES = ["episodes_context", "semantic_nodes", "semantic_node_hits", "episodes_browse", "episodes_search", "facts_search_bump", "near_duplicate_classify", "facts_search_text", "facts_text", "facts_find_duplicate", "facts_retrieve"]
 
 
 @pytest.mark.parametrize("name", SEARCHES)
